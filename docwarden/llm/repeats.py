@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docwarden.llm.base import cut, doc_columns, with_text
 from docwarden.llm.lyndon import common_prefixes, suffix_array
-from docwarden.llm.textkernels import Words, gram_hashes, mix, runs, sliding_min, string_parts, SPACE, EXACT_CODES
+from docwarden.llm.textkernels import EXACT, EXACT_CODES, Words, geometric_pair, gram_hashes, mix, runs, sliding_min, string_parts
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 25
@@ -83,9 +83,7 @@ def _leftmost(grams: np.ndarray, least: np.ndarray, starts: np.ndarray, window:
 
 def _range_hash(h: np.ndarray, lo: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Hash of h[lo:lo + length], from prefix sums of a polynomial."""
-    from docwarden.llm.textkernels import _Powers
-
-    up, down = _Powers.of(len(h))
+    up, down = geometric_pair(len(h))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
     return mix((sums[lo + length] - sums[lo]) * down[lo] + length.astype(np.uint64))
 
@@ -207,7 +205,7 @@ def _sorter(min_words: int):
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             data, bounds = string_parts(table["text"])
-            words = Words(data, bounds, SPACE, EXACT_CODES)
+            words = Words(data, bounds, EXACT, EXACT_CODES)
             anchor, doc_id = table["anchor"].to_numpy(), table["doc_id"].to_numpy()
             lo, copies = table["span"].to_numpy() >> 12, table["copies"].to_numpy()
             context = words.doc_of()

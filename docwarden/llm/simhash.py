@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docwarden.llm.base import cut, doc_columns
 from docwarden.llm.bitslice import block_pairs, near_in_runs
 from docwarden.llm.components import components
-from docwarden.llm.textkernels import FOLDED_CODES, NON_ALNUM, bit_votes, mix, runs
+from docwarden.llm.textkernels import ALNUM, FOLDED_CODES, bit_votes, mix, runs
 
 WIDTH = 4
 RADIUS = 40
@@ -41,7 +41,7 @@ _SIGNATURE = ", ".join(f"s{i} long" for i in range(WIDTH))
 def signatures_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """(n, 4) SimHash words of a string column, over each text's set of folded words."""
     parts = [np.zeros((0, WIDTH), dtype=np.uint64)]
-    for _, _, words in runs(column, NON_ALNUM, FOLDED_CODES):
+    for _, _, words in runs(column, ALNUM, FOLDED_CODES):
         n = len(words.doc_start) - 1
         out = np.zeros((n, WIDTH), dtype=np.uint64)
         for at in range(0, n, 1 << 15):

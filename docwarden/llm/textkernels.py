@@ -32,16 +32,15 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return out
 
 
-class _Powers:
-    up = _geometric(_MULT, 1 << 12)
-    down = _geometric(_INV, 1 << 12)
+_POWERS = [_geometric(_MULT, 1 << 12), _geometric(_INV, 1 << 12)]
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            cls.up, cls.down = _geometric(_MULT, size), _geometric(_INV, size)
-        return cls.up[:n], cls.down[:n]
+
+def geometric_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the multiplier and of its inverse."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        _POWERS[:] = _geometric(_MULT, size), _geometric(_INV, size)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -55,13 +54,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-#: separators of exact words: ASCII white space only, in every language alike
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+# A classification gives each byte the kind of word that it belongs to, 0 where it separates words.
+_WHITE = [9, 10, 11, 12, 13, 32]
+
+#: exact words: all but ASCII white space, in every language alike
+EXACT = np.ones(256, dtype=np.uint8)
+EXACT[_WHITE] = 0
+
+#: folded words: letters and digits; every other ASCII character separates
+ALNUM = np.ones(256, dtype=np.uint8)
+ALNUM[:128] = [chr(i).isalnum() for i in range(128)]
 
-#: separators of folded words: every ASCII character but letters and digits
-NON_ALNUM = np.zeros(256, dtype=bool)
-NON_ALNUM[:128] = [not chr(i).isalnum() for i in range(128)]
+#: letters and digits are words, and so are runs of signs
+WORDS_AND_SIGNS = np.where(EXACT == 0, 0, np.where(ALNUM == 1, 1, 2)).astype(np.uint8)
 
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
@@ -78,21 +83,22 @@ class Words:
 
     __slots__ = ("data", "start", "end", "hash", "doc_start", "doc_byte")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, sep: np.ndarray, codes: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, codes: np.ndarray):
         self.data, self.doc_byte = data, bounds
-        inside = ~sep[data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        kind = kinds[data]
+        inside = kind > 0
+        first, last = inside.copy(), inside.copy()
+        changes = kind[1:] != kind[:-1]
+        first[1:] &= changes
+        last[:-1] &= changes
         edges = bounds[(bounds > 0) & (bounds < len(data))]
         first[edges] = inside[edges]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
         last[edges - 1] = inside[edges - 1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.doc_start = np.searchsorted(self.start, bounds)
         if len(self.start):
-            up, down = _Powers.of(len(data))
+            up, down = geometric_pair(len(data))
             weighted = codes[data] * up
             weighted[~inside] = 0
             self.hash = mix(np.add.reduceat(weighted, self.start) * down[self.start])
@@ -120,14 +126,14 @@ def string_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, bounds - bounds[0]
 
 
-def runs(column: pa.Array | pa.ChunkedArray, sep: np.ndarray = SPACE, codes: np.ndarray = EXACT_CODES) -> Iterator[tuple[int, int, Words]]:
+def runs(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray = EXACT, codes: np.ndarray = EXACT_CODES) -> Iterator[tuple[int, int, Words]]:
     """Yields (first row, last row + 1, Words) over a string column."""
     data, bounds = string_parts(column)
     n, row = len(bounds) - 1, 0
     while row < n:
         stop = int(np.searchsorted(bounds, bounds[row] + CHUNK_BYTES, side="right")) - 1
         stop = min(n, max(stop, row + 1))
-        yield row, stop, Words(data[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row], sep, codes)
+        yield row, stop, Words(data[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row], kinds, codes)
         row = stop
 
 
