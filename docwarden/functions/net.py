@@ -45,6 +45,11 @@ def is_ipv4(text: Column) -> Column:
     return text.rlike(_IPV4)
 
 
+def is_address(host: Column) -> Column:
+    """IPv4, or what can only be IPv6 in a URL's host."""
+    return is_ipv4(host) | F.contains(host, F.lit(":"))
+
+
 def ipv4_number(text: Column) -> Column:
     parts = F.split(text, r"\.")
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + F.coalesce(p.try_cast("long"), F.lit(0)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,10 +12,14 @@ _LINE_ENDS = r"\R|[\x1c-\x1e]"
 _BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: within array functions every mention is computed anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text as splitlines() gives them; the end of the last line makes no line of its own."""
-    parts = F.split(text, _LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, _LINE_ENDS, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:
@@ -43,24 +47,24 @@ def strings(values: Sequence[str]) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits."""
-    chars = F.split(text, "")
-    n = F.length(text)
 
-    def part(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / n
-        return -p * F.log2(p)
+    def of(chars: Column) -> Column:
+        parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars))
+        return F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
-    return F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, b: a + b)
+    return let(F.split(text, ""), of)
 
 
 def negated_in(line: Column, hint: Column, negations: Sequence[str]) -> Column:
     """Whether a negation is among the 30 characters before the hint's first occurrence in a lower-case line."""
-    at = F.instr(line, hint)
-    window = F.substring(line, F.greatest(at - 30, F.lit(1)), F.least(at - 1, F.lit(30)))
-    found = F.lit(False)
-    for n in negations:
-        found = found | F.contains(window, F.lit(n))
-    return found
+
+    def of(window: Column) -> Column:
+        found = F.lit(False)
+        for n in negations:
+            found = found | F.contains(window, F.lit(n))
+        return found
+
+    return let(let(F.instr(line, hint), lambda at: F.substring(line, F.greatest(at - 30, F.lit(1)), F.least(at - 1, F.lit(30)))), of)
 
 
 def first_of(items: Column, default: Column) -> Column:
@@ -68,12 +72,6 @@ def first_of(items: Column, default: Column) -> Column:
     return F.when(F.size(items) > 0, F.element_at(items, 1)).otherwise(default)
 
 
-def first_per(items: Column, key) -> Column:
-    """Keeps the first of the elements whose key is the same."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-
-
 def preview(labels: Column, n: int = 5, separator: str = "; ") -> Column:
     """The first labels and how many more there are."""
     more = F.size(labels) - n

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwarden import terms
 from docwarden.functions.names import output_name
-from docwarden.functions.text import lines_of, strip
+from docwarden.functions.text import let, lines_of, strip
 
 FRONT_MATTER = "struct<error:string,name:string,kv:array<struct<key:string,value:string,line:int>>,paths:array<struct<path:string,empty:boolean>>,mcp:array<string>>"
 _BOM = "﻿"
@@ -73,7 +73,6 @@ def read_front_matter(text: str | None) -> dict | None:
     return result
 
 
-@F.pandas_udf(FRONT_MATTER)
 def _front_matter(texts: pd.Series) -> pd.DataFrame:
     rows = [read_front_matter(t) or {"error": None, "name": None, "kv": None, "paths": None, "mcp": None} for t in texts]
     return pd.DataFrame(rows, columns=["error", "name", "kv", "paths", "mcp"])
@@ -81,8 +80,8 @@ def _front_matter(texts: pd.Series) -> pd.DataFrame:
 
 def _fence_spans(lines: Column) -> Column:
     """Intervals (lo, hi) of line indices within fences, the fence lines included; an open fence runs to the end."""
-    marks = F.filter(
-        F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.substring(F.regexp_extract(line, r"^\s*([`~]{3,})", 1), 1, 1).alias("mark"))),
+    found = F.filter(
+        F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.when(line.rlike("[`~]{3}"), F.substring(F.regexp_extract(line, r"^\s*([`~]{3,})", 1), 1, 1)).otherwise("").alias("mark"))),
         lambda m: m["mark"] != "",
     )
     spans = "array<struct<lo:int,hi:int>>"
@@ -97,7 +96,7 @@ def _fence_spans(lines: Column) -> Column:
         rest = F.array(F.struct(state["lo"].alias("lo"), F.lit(2147483647).alias("hi")))
         return F.when(state["mark"] == "", state["spans"]).otherwise(F.concat(state["spans"], rest))
 
-    return F.when(F.size(marks) == 0, F.array().cast(spans)).otherwise(F.aggregate(marks, start, step, finish))
+    return let(found, lambda marks: F.when(F.size(marks) == 0, F.array().cast(spans)).otherwise(F.aggregate(marks, start, step, finish)))
 
 
 def _fields(lines: Column, spans: Column, skip: Column) -> Column:
@@ -105,18 +104,16 @@ def _fields(lines: Column, spans: Column, skip: Column) -> Column:
     body = F.slice(lines, skip + 1, F.greatest(F.size(lines) - skip, F.lit(0)))
 
     def field(line: Column, i: Column) -> Column:
-        value = strip(line)
-        found = F.regexp_extract(line, r"(?U)^\s*([A-Za-z0-9_-]{2,})\s*:", 1)
-        key = F.when((found != "") & ~F.lower(found).isin(*sorted(terms.NOT_KEYS)), found)
+        found = let(F.regexp_extract(line, r"(?U)^\s*([A-Za-z0-9_-]{2,})\s*:", 1), lambda k: F.when((k != "") & ~F.lower(k).isin(*sorted(terms.NOT_KEYS)), k))
         in_code = F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"]))
-        return F.struct(
-            (i + skip + 1).cast("int").alias("line"),
-            value.alias("value"),
-            F.substring(value, 1, terms.SNIPPET).alias("snippet"),
-            in_code.alias("in_code_block"),
-            F.when(in_code, "code_block").when(key.isNotNull(), "config_line").otherwise("prose").alias("field_source"),
-            key.alias("key"),
-        )
+        parts = F.struct(strip(line).alias("value"), found.alias("key"), in_code.alias("in_code"), (i + skip + 1).cast("int").alias("line"))
+        return let(
+            parts,
+            lambda p: F.struct(
+                p["line"].alias("line"), p["value"].alias("value"), F.substring(p["value"], 1, terms.SNIPPET).alias("snippet"), p["in_code"].alias("in_code_block"),
+                F.when(p["in_code"], "code_block").when(p["key"].isNotNull(), "config_line").otherwise("prose").alias("field_source"), p["key"].alias("key"),
+            ),
+        )
 
     return F.filter(F.transform(body, field), lambda f: f["value"] != "")
 
@@ -136,13 +133,14 @@ def parse(docs: DataFrame, *, front_matter: bool = True) -> DataFrame:
         close = F.array_position(F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: strip(x).isin("---", "...")), True)
         plain = plain.withColumn("fm_lines", F.when(opened, close)).withColumn("body_start", F.coalesce(F.when(F.col("fm_lines") > 0, F.col("fm_lines") + 1), F.lit(0)).cast("int"))
         text = F.when(F.col("fm_lines") > 0, F.array_join(F.slice("lines", F.lit(2), F.greatest(F.col("fm_lines") - 1, F.lit(0)).cast("int")), "\n"))
-        plain = plain.withColumn("fm", _front_matter(text))
+        # called nondeterministic so that filters on its result don't make Spark call it twice
+        plain = plain.withColumn("fm", F.pandas_udf(_front_matter, FRONT_MATTER).asNondeterministic()(text))
         unclosed = F.when(F.col("fm_lines") == 0, F.lit("front matter is not closed"))
         plain = plain.withColumn("parse_error", F.coalesce(unclosed, F.col("fm.error"), F.when(F.col("raw_text").isNull(), F.lit("no valid UTF-8 text")))).drop("fm_lines")
     else:
         plain = plain.withColumn("body_start", F.lit(0)).withColumn("fm", F.lit(None).cast(FRONT_MATTER)).withColumn("parse_error", F.when(F.col("raw_text").isNull(), F.lit("no valid UTF-8 text")))
     body_lines = F.slice("lines", F.col("body_start") + 1, F.greatest(F.size("lines") - F.col("body_start"), F.lit(0)))
-    return plain.withColumn("fields", F.when(F.col("raw_text").isNotNull(), _fields(F.col("lines"), _fence_spans(body_lines), F.col("body_start"))))
+    return plain.withColumn("fields", F.when(F.col("raw_text").isNotNull(), let(_fence_spans(body_lines), lambda spans: _fields(F.col("lines"), spans, F.col("body_start")))))
 
 
 def name_documents(parsed: DataFrame) -> DataFrame:
@@ -153,6 +151,8 @@ def name_documents(parsed: DataFrame) -> DataFrame:
     folder = F.element_at(F.split("rel_path", "/"), -2)
     base = output_name(F.coalesce(F.col("fm.name"), F.when(F.size(F.split("rel_path", "/")) > 1, folder), F.col("folder"), F.col("rel_path")))
     named = parsed.withColumn("base_name", base)
-    shared = F.count("*").over(Window.partitionBy("base_name")) > 1
+    # only names that collide are joined back, so that texts don't move
+    shared = named.groupBy("base_name").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("base_name").alias("__shared"))
+    joined = named.join(shared, named["base_name"] == shared["__shared"], "left")
     unique = F.concat("base_name", F.lit("-"), F.substring(F.sha2("rel_path", 256), 1, 8))
-    return named.withColumn("name_collides", shared).withColumn("skill", F.when(shared, unique).otherwise(F.col("base_name"))).drop("base_name")
+    return joined.withColumn("name_collides", F.col("__shared").isNotNull()).withColumn("skill", F.when(F.col("name_collides"), unique).otherwise(F.col("base_name"))).drop("base_name", "__shared")
