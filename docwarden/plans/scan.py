@@ -90,11 +90,11 @@ def suppress_rows(candidates: DataFrame) -> DataFrame:
 
 
 def first_rows(candidates: DataFrame, order: str) -> DataFrame:
-    """First candidate of each (rule_id, path, line, description), by a column of order."""
+    """First candidate of each (rule_id, path, line, description), by a column of order; ties by the other columns."""
     keys = ["rule_id", "path", "line", "description"]
     rest = F.struct(*[c for c in candidates.columns if c not in keys])
-    first = candidates.groupBy(*keys).agg(F.min_by(rest, F.col(order)).alias("__first"))
-    return first.select(*[F.col(c) if c in keys else F.col("__first")[c].alias(c) for c in candidates.columns])
+    first = candidates.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("by"), rest.alias("rest"))).alias("__first"))
+    return first.select(*[F.col(c) if c in keys else F.col("__first.rest")[c].alias(c) for c in candidates.columns])
 
 
 def severity(score: Column, config: Config) -> Column:
