@@ -73,6 +73,8 @@ def _lanes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def block_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i of left, j of right) within the radius; with ``same`` only i < j."""
+    if not len(left) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     width = 64 * left.shape[1]
     planes = planes_of(right)
     m, columns = len(right), planes.shape[1]
