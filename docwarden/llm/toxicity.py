@@ -34,7 +34,7 @@ from docwarden.llm.transducers import Transducer, compose
 
 SAMPLE_ROWS = 12_000
 THRESHOLD = 1.0
-LEAST_STEM, LONGEST_STEM = 3, 8
+LEAST_STEM, LONGEST_STEM = 3, 14
 
 _WORDS = {
     "INSULT": """idiot idiots stupid moron morons loser losers trash scum pathetic worthless disgusting clown clowns
