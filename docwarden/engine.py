@@ -152,7 +152,8 @@ def scan_workspace(
         entries = keyed.join(per_name, F.col("skill") == F.col("__skill"), "left").select(*Cache.KEYS, F.coalesce("findings", F.array().cast(f"array<struct<{_as_struct(FINDING)}>>")).alias("findings"))
         hits, misses = known.count(), keyed.count()
         store.write(known.unionByName(entries))
-        findings = store.read().select(F.explode("findings").alias("f")).select("f.*").unionByName(loose)
+        # the next scan replaces the table, which mustn't take the result with it
+        findings = cut(store.read().select(F.explode("findings").alias("f")).select("f.*").unionByName(loose))
     total = score.workspace(findings, config).first()
     return ScanResult(
         findings=findings, warnings=warnings, scanned_files=documents.count(), selection=selection, config=config, aggregate_score=total["aggregate_score"],
