@@ -24,45 +24,70 @@ CONFIG_NAME = "docwarden.yaml"
 _LISTS = ("allowlist_domains", "mcp_allowlist_domains", "denylist_domains", "mcp_denylist_domains")
 
 
+#: command | long name | short name | kind or choices | help; "many" may be repeated; names in one "one of" group exclude each other
+_OPTIONS = """
+scan check | root | r | path! |
+init | root | r | path |
+scan check | rules-dir | R | path, one of source | folder of custom rules
+scan check | rule-file | f | path many, one of source | a custom rule
+scan check init | config | c | path | policy, else the one in the root
+scan | output-dir | o | path | folder of reports; none are written without it
+scan | mcp-allowlist | m | many | takes the place of the policy's list
+scan | profile | p | strict/balanced/audit |
+scan | no-cache | n | flag |
+scan | rules-mode | | replace/overlay |
+scan | duplicate-policy | | error/override |
+scan | disable-rule | | many, one of chosen |
+scan | only-rules | | many, one of chosen |
+scan | max-file-mb | | number |
+scan | output-format | | text | some of json, csv, sarif, with commas
+scan | no-stdout | | flag |
+scan | no-color | | flag | reports have no colours; kept for scripts
+scan | verbose | v | flag |
+scan | group-by | | skill/rule |
+scan | fail-on | | high/medium/low |
+scan | fail-on-score | | number |
+scan | min-severity | | high/medium/low |
+scan | summary-only | | flag |
+scan | security-only | | flag |
+scan | quiet-mode | | flag | JSON lines to a file and nothing to stdout
+scan | quiet-output | | path |
+init | yes | y | flag | don't ask
+init | dry-run | | flag | print the policy only
+init | from-scan | | path | reports of a scan, from which domains are suggested
+"""
+_DEFAULTS = {"output-format": "json", "rules-mode": "replace", "duplicate-policy": "error"}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="docwarden", description="Static risk analysis of instruction documents, on Spark")
     commands = top.add_subparsers(dest="command", required=True)
-    scan = commands.add_parser("scan", help="scan a workspace")
-    check = commands.add_parser("validate-config", help="check the policy and custom rules without a scan")
-    init = commands.add_parser("init", help="write a starter policy")
-    for one in (scan, check):
-        one.add_argument("-r", "--root", type=Path, required=True)
-        source = one.add_mutually_exclusive_group()
-        source.add_argument("-R", "--rules-dir", type=Path, help="folder of custom rules")
-        source.add_argument("-f", "--rule-file", type=Path, action="append", help="a custom rule; may be repeated")
-    init.add_argument("-r", "--root", type=Path, default=Path("."))
-    for one in (scan, check, init):
-        one.add_argument("-c", "--config", type=Path, help=f"policy, else {CONFIG_NAME} in the root")
-    scan.add_argument("-o", "--output-dir", type=Path, help="folder of reports; none are written without it")
-    scan.add_argument("-m", "--mcp-allowlist", action="append", default=[], help="takes the place of the policy's list; may be repeated")
-    scan.add_argument("-p", "--profile", choices=["strict", "balanced", "audit"])
-    scan.add_argument("-n", "--no-cache", action="store_true")
-    scan.add_argument("--rules-mode", choices=["replace", "overlay"], default="replace")
-    scan.add_argument("--duplicate-policy", choices=["error", "override"], default="error")
-    chosen = scan.add_mutually_exclusive_group()
-    chosen.add_argument("--disable-rule", action="append", default=[])
-    chosen.add_argument("--only-rules", action="append", default=[])
-    scan.add_argument("--max-file-mb", type=int)
-    scan.add_argument("--output-format", default="json", help="some of json, csv, sarif, with commas")
-    scan.add_argument("--no-stdout", action="store_true")
-    scan.add_argument("--no-color", action="store_true", help="reports have no colours; kept for scripts")
-    scan.add_argument("-v", "--verbose", action="store_true")
-    scan.add_argument("--group-by", choices=["skill", "rule"])
-    scan.add_argument("--fail-on", choices=["high", "medium", "low"])
-    scan.add_argument("--fail-on-score", type=int)
-    scan.add_argument("--min-severity", choices=["high", "medium", "low"])
-    scan.add_argument("--summary-only", action="store_true")
-    scan.add_argument("--security-only", action="store_true")
-    scan.add_argument("--quiet-mode", action="store_true", help="JSON lines to a file and nothing to stdout")
-    scan.add_argument("--quiet-output", type=Path)
-    init.add_argument("-y", "--yes", action="store_true", help="don't ask")
-    init.add_argument("--dry-run", action="store_true", help="print the policy only")
-    init.add_argument("--from-scan", type=Path, help="reports of a scan, from which domains are suggested")
+    said = {"scan": ("scan", "scan a workspace"), "check": ("validate-config", "check the policy and custom rules without a scan"), "init": ("init", "write a starter policy")}
+    parsers = {short: commands.add_parser(name, help=text) for short, (name, text) in said.items()}
+    groups: dict[tuple[str, str], argparse._MutuallyExclusiveGroup] = {}
+    for line in _OPTIONS.strip().splitlines():
+        names, long, short, kind, text = (part.strip() for part in line.split("|"))
+        kind, _, group = kind.partition(", one of ")
+        settings: dict = {"help": text or None}
+        if kind == "flag":
+            settings["action"] = "store_true"
+        else:
+            settings["default"] = [] if kind == "many" else _DEFAULTS.get(long)
+            if "many" in kind:
+                settings["action"] = "append"
+            if "/" in kind:
+                settings["choices"] = kind.split("/")
+            elif kind.startswith("path"):
+                settings |= {"type": Path, "required": kind.endswith("!")}
+            elif kind == "number":
+                settings["type"] = int
+        for name in names.split():
+            if (name, long) == ("init", "root"):
+                settings["default"] = Path(".")
+            if group and (name, group) not in groups:
+                groups[name, group] = parsers[name].add_mutually_exclusive_group()
+            to = groups[name, group] if group else parsers[name]
+            to.add_argument(*([f"-{short}"] if short else []), f"--{long}", **settings)
     return top
 
 
@@ -131,8 +156,8 @@ def run_scan(args: argparse.Namespace) -> int:
         n = shown.count()
         summary = {
             "schema_version": sinks.SCHEMA_VERSION, "scanned_files": result.scanned_files, "total_findings": result.total, "written_findings": n,
-            "filtered_out_findings": result.total - n, "aggregate_score": result.aggregate_score, "aggregate_severity": result.aggregate_severity,
-            "counts_by_severity": result.counts, "gate_scope": "all_findings", "gate_failed": failed, "duration_seconds": round(result.seconds, 3),
+            "filtered_out_findings": result.total - n, "counts_by_severity": result.counts,
+            "aggregate_severity": result.aggregate_severity, "aggregate_score": result.aggregate_score, "gate_scope": "all_findings", "gate_failed": failed, "duration_seconds": round(result.seconds, 3),
         }
         lines = sinks.json_lines(shown, result.warnings if config.quiet.include_warnings else [], summary if config.quiet.include_summary else None)
         sinks.write_json_lines(lines, to.resolve(), append=config.quiet.write_mode == "append")

@@ -40,8 +40,10 @@ class Problem:
     """One finding of validation; ``code`` is stable."""
 
     code: str
+    #: the file
     path: str
     field: str
+    #: what is wrong, and what to do about it
     message: str
     hint: str = ""
 
@@ -76,12 +78,14 @@ class Sensitivity:
 @dataclass(frozen=True)
 class Config:
     profile: str = "balanced"
-    allowlist_domains: tuple[str, ...] = ()
-    ignore_default_allowlist: bool = False
     strict_subdomains: bool = False
+    allowlist_domains: tuple[str, ...] = ()
     denylist_domains: tuple[str, ...] = ()
-    mcp_allowlist_domains: tuple[str, ...] = ()
+    #: without it, the built-in domains are allowed too
+    ignore_default_allowlist: bool = False
+    #: the same for endpoints of servers
     mcp_denylist_domains: tuple[str, ...] = ()
+    mcp_allowlist_domains: tuple[str, ...] = ()
     tool_prefixes: tuple[str, ...] = terms.TOOL_PREFIXES
     enabled: tuple[str, ...] = ()
     disabled: tuple[str, ...] = ()

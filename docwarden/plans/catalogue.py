@@ -204,7 +204,7 @@ def _sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-_NEGATIONS = ["no ", "not ", "without ", "don't need", "doesn't require", "not require", "not needed", "no need for"]
+_NEGATIONS = list(terms.NEGATIONS)
 
 
 @query(

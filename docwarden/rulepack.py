@@ -110,7 +110,7 @@ def compile_rule(data: dict[str, Any], source: str = "<rule>") -> Rule:
     match = dict(data["match"])
     return Rule(
         rule_id=data["rule_id"], public_id=data.get("public_rule_id", data["rule_id"]), strategy=match["strategy"], match=match, metadata=dict(data["metadata"]),
-        base_score=data["scoring"]["base_score"], dedupe=data.get("dedupe", True), profiles=data.get("profiles", {}), source=source,
+        profiles=data.get("profiles", {}), dedupe=data.get("dedupe", True), source=source, base_score=data["scoring"]["base_score"],
     )
 
 

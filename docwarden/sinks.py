@@ -23,7 +23,7 @@ from docwarden.config import Config
 from docwarden.plans import score
 
 SCHEMA_VERSION = "1.0.0"
-CSV_COLUMNS = ("id", "skill", "rule_id", "severity", "classification", "score", "confidence", "path", "line", "title", "description", "recommendation")
+CSV_COLUMNS = tuple("id skill rule_id severity classification score confidence path line title description recommendation".split())
 _LEVELS = {"high": "error", "medium": "warning", "low": "note"}
 SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/cos02/schemas/sarif-schema-2.1.0.json"
 

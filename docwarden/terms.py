@@ -97,9 +97,9 @@ HIDDEN_PHRASES = tuple(
         ("inject", ("instructions",)),
         ("do not", ("reveal", "disclose")),
         ("exfiltrate", ("data", "information", "conversation", "history", "session", "credentials", "secrets", "the")),
-        ("", ("send data to", "upload data to", "send to http", "post to http", "forward data to")),
+        ("", _list("send data to | upload data to | send to http | post to http | forward data to")),
         ("bypass", ("security", "restrictions", "safety")),
-        ("", ("hidden instruction", "system prompt override", "you are now", "pretend you are", "act as if")),
+        ("", _list("hidden instruction | system prompt override | you are now | pretend you are | act as if")),
         ("do not", ("mention", "tell", "say", "show", "log")),
         ("keep this", ("secret", "hidden")),
         ("never", ("mention", "reveal")),
@@ -117,7 +117,7 @@ PAYLOAD_WEAK = tuple(
 FETCH_PHRASES = tuple(
     [f"{verb} and {act}" for verb in ("download", "fetch") for act in ("execute", "run")]
     + [f"{verb} {what} from" for verb, what in (("fetch", "config"), ("fetch", "configuration"), ("load", "instructions"), ("load", "config"), ("pull", "instructions"), ("pull", "config"), ("source", "instructions"), ("import", "instructions"))]
-    + ["execute from url", "execute from remote", "run script from", "eval remote"]
+    + [*_list("execute from url | execute from remote | run script from | eval remote")]
     + [f"{tool} | {shell}" for tool in ("curl", "wget") for shell in ("sh", "bash")]
     + ["pipe to shell"]
 )
