@@ -11,19 +11,23 @@ Decoding joins ids with the table of token bytes, which has the vocabulary's
 fixed size.
 
 Scale: no row is made per token.  Shuffled are the chunk dictionaries (a few
-bytes per distinct word and chunk) and the compressed positions, once.
+bytes per distinct word and chunk) alone; the compressed positions stay in the
+written table, from which the task that has a chunk's ids reads them.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +36,7 @@ from docwarden.llm.base import doc_columns, new_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_CHARS = 64 << 20
+CHUNK_CHARS = 16 << 20
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -96,32 +100,55 @@ def _unpack(data: bytes) -> bytes:
     return _ZSTD.decompress(data[8:], size, asbytes=True) if size else b""
 
 
+#: numbers are packed and unpacked so many at a time, since the steps between need forty bytes each
+_SLICE = 1 << 19
+
+
 def _varints(values: np.ndarray) -> bytes:
     """Seven bits a byte, the least first, a high bit where more follow."""
-    size = np.ones(len(values), dtype=np.int64)
-    for limit in (1 << 7, 1 << 14, 1 << 21, 1 << 28):
-        size += values >= limit
-    start = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), dtype=np.uint8)
-    for k in range(5):
-        has = np.flatnonzero(size > k)
-        out[start[has] + k] = (values[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
-    return out.tobytes()
+    parts = []
+    for at in range(0, len(values), _SLICE):
+        part = values[at : at + _SLICE]
+        size = np.ones(len(part), dtype=np.int64)
+        for limit in (1 << 7, 1 << 14, 1 << 21, 1 << 28):
+            size += part >= limit
+        start = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), dtype=np.uint8)
+        for k in range(5):
+            has = np.flatnonzero(size > k)
+            out[start[has] + k] = (part[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
+        parts.append(out.tobytes())
+    return b"".join(parts)
 
 
 def _from_varints(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.int64)
-    start = np.flatnonzero(np.concatenate(([True], raw[:-1] < 128)))
-    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.concatenate((start, [len(raw)]))))
-    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, start)
+    out = np.empty(int(np.count_nonzero(raw < 128)), dtype=np.int32)
+    at = done = 0
+    while at < len(raw):
+        part = raw[at : at + _SLICE]
+        ends = np.flatnonzero(part < 128)
+        part = part[: ends[-1] + 1]
+        start = np.concatenate(([0], ends[:-1] + 1))
+        place = np.arange(len(part)) - np.repeat(start, ends + 1 - start)
+        out[done : done + len(ends)] = np.add.reduceat((part & 127).astype(np.int64) << 7 * place, start)
+        at, done = at + len(part), done + len(ends)
+    return out
 
 
 _CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.large_binary()), ("more", pa.large_binary()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 _CHUNK_TYPES = "chunk long, bucket int, payload binary, more binary, doc_ids array<long>, counts array<int>"
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system; an idle worker would keep it for as long as the executor lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _chunker(buckets: int, chunk_chars: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(PATTERN).findall
@@ -133,9 +160,10 @@ def _chunker(buckets: int, chunk_chars: int):
         chars = 0
 
         def finish() -> pa.RecordBatch:
-            codes = np.concatenate([*parts, np.zeros(0, np.int64)])
+            codes = np.concatenate([*parts, np.zeros(0, np.int32)])
+            parts.clear()
             often = np.argsort(-np.bincount(codes, minlength=len(places)), kind="stable")
-            rank = np.empty(len(places), dtype=np.int64)
+            rank = np.empty(len(places), dtype=np.int32)
             rank[often] = np.arange(len(places))
             blocks: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
             for word, place in places.items():
@@ -160,7 +188,7 @@ def _chunker(buckets: int, chunk_chars: int):
                     counts.append(-1)
                 else:
                     codes = [places.setdefault(word, len(places)) for word in find(text)]
-                    parts.append(np.array(codes, dtype=np.int64))
+                    parts.append(np.array(codes, dtype=np.int32))
                     counts.append(len(codes))
                     chars += len(text)
                 if chars >= chunk_chars:
@@ -169,10 +197,18 @@ def _chunker(buckets: int, chunk_chars: int):
                     places.clear(), ids.clear(), counts.clear(), parts.clear()
         if ids:
             yield finish()
+        _give_back()
 
     return chunks
 
 
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows one by one, so that only one row's payload is a Python object at a time."""
+    columns = [batch[n] for n in names]
+    for i in range(len(batch)):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def _word_encoder(ranks_of):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of words, sorted by bucket, become blocks of ids."""
@@ -180,10 +216,10 @@ def _word_encoder(ranks_of):
         known: dict[bytes, list[int]] = {}
         at = None
         for batch in batches:
-            for chunk, bucket, payload, more in zip(*(batch[c].to_pylist() for c in ("chunk", "bucket", "payload", "more"))):
+            for chunk, bucket, payload, more in _rows(batch, "chunk", "bucket", "payload", "more"):
                 if bucket != at:
                     known, at = {}, bucket
-                raw, ends = _unpack(payload), np.cumsum(_from_varints(_unpack(more))).tolist()
+                raw, ends = _unpack(payload), np.cumsum(_from_varints(_unpack(more)), dtype=np.int64).tolist()
                 flat: list[int] = []
                 sizes = []
                 start = 0
@@ -196,6 +232,8 @@ def _word_encoder(ranks_of):
                     sizes.append(len(found))
                     start = end
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([chunk], [bucket], [_pack(_varints(np.array(flat, dtype=np.int64)))], [_pack(_varints(np.array(sizes, dtype=np.int64)))], [None], [None]), _CHUNK_SCHEMA.types)], schema=_CHUNK_SCHEMA)
+        known.clear()
+        _give_back()
 
     return encode
 
@@ -207,43 +245,70 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.arange(total) + np.repeat(start - (ends - size), size)]
 
 
+def _positions(path: str, chunk: int) -> tuple:
+    """Positions, order of words, ids and counts of a chunk, from the file of the table that holds it."""
+    system, place = fs.FileSystem.from_uri(path)
+    row = pq.read_table(place, filesystem=system, columns=["payload", "more", "doc_ids", "counts"], filters=[("chunk", "=", chunk), ("bucket", "=", -1)])
+    return _from_varints(_unpack(row["payload"][0].as_py())), _from_varints(_unpack(row["more"][0].as_py())), row["doc_ids"].combine_chunks().flatten(), row["counts"].combine_chunks().flatten().to_numpy()
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (chunk, bucket): each chunk's documents, then its blocks of ids in order."""
-    documents: tuple | None = None
+    """Rows arrive sorted by (chunk, bucket): the file that has each chunk's positions, then its blocks of ids in order."""
+    at: tuple[str, int] | None = None
     blocks: list[tuple[np.ndarray, np.ndarray]] = []
 
     def finish() -> Iterator[pa.RecordBatch]:
-        codes, order, doc_ids, counts = documents
-        flat = np.concatenate([b[0] for b in blocks] or [np.zeros(0, np.int64)]).astype(np.int32)
-        sizes = np.concatenate([b[1] for b in blocks] or [np.zeros(0, np.int64)])
+        codes, order, doc_ids, counts = _positions(*at)
+        flat = np.concatenate([b[0] for b in blocks] or [np.zeros(0, np.int32)])
+        sizes = np.concatenate([b[1] for b in blocks] or [np.zeros(0, np.int32)]).astype(np.int64)
+        blocks.clear()
         starts = np.cumsum(sizes) - sizes
         start, size = np.empty_like(starts), np.empty_like(sizes)
         start[order], size[order] = starts, sizes
-        counts = np.array(counts)
-        words = np.maximum(counts, 0)
+        words = np.maximum(counts, 0).astype(np.int64)
         ends = np.cumsum(words)
-        for at in range(0, len(counts), 1000):
-            part = slice(at, at + 1000)
-            mine = codes[(ends - words)[at] : ends[part][-1]]
+        # as many documents at a time as have about a million words
+        edges = [0]
+        while edges[-1] < len(counts):
+            begun = ends[edges[-1]] - words[edges[-1]]
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(ends, begun + (1 << 20), side="right"))))
+        for first, stop in zip(edges[:-1], edges[1:]):
+            base = ends[first] - words[first]
+            mine = codes[base : ends[stop - 1]]
             ids = _gather(flat, start[mine], size[mine])
             before = np.concatenate(([0], np.cumsum(size[mine])))
-            bounds = before[np.concatenate(([0], ends[part] - (ends - words)[at]))]
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array(counts[part] < 0))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[part], pa.int64()), lists], names=["doc_id", "token_ids"])
+            bounds = before[np.concatenate(([0], ends[first:stop] - base))]
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array(counts[first:stop] < 0))
+            yield pa.RecordBatch.from_arrays([doc_ids[first:stop], lists], names=["doc_id", "token_ids"])
 
     for batch in batches:
-        for bucket, payload, more, doc_ids, counts in zip(*(batch[c].to_pylist() for c in ("bucket", "payload", "more", "doc_ids", "counts"))):
-            first, second = _from_varints(_unpack(payload)), _from_varints(_unpack(more))
+        for chunk, bucket, path, payload, more in _rows(batch, "chunk", "bucket", "path", "payload", "more"):
             if bucket < 0:
-                if documents:
+                if at:
                     yield from finish()
-                documents, blocks = (first, second, doc_ids, counts), []
+                at = path, chunk
             else:
-                blocks.append((first, second))
-    if documents:
+                blocks.append((_from_varints(_unpack(payload)), _from_varints(_unpack(more))))
+    if at:
         yield from finish()
 
 
+def _id_blocks(docs: DataFrame, vocabulary: str, chunk_chars: int) -> DataFrame:
+    """What :func:`_assemble` takes."""
+    spark: SparkSession = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    path = new_folder(spark, "bpe-chunks")
+    doc_columns(docs).mapInArrow(_chunker(buckets, chunk_chars), _CHUNK_TYPES).write.parquet(path, compression="none")
+    chunks = spark.read.schema(_CHUNK_TYPES).parquet(path)
+    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "payload", "more", "doc_ids", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(_word_encoder(ranks), _CHUNK_TYPES).select("chunk", "bucket", F.lit(None).cast("string").alias("path"), "payload", "more")
+    nothing = F.lit(None).cast("binary")
+    places = chunks.filter("bucket < 0").select("chunk", "bucket", F.col("_metadata.file_path").alias("path"), nothing.alias("payload"), nothing.alias("more"))
+    back = places.unionByName(ids).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return back
+
+
 def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Rows (doc_id, token_ids), one for each document row, in no order.
 
@@ -252,16 +317,7 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, chunk_chars: int =
     encoded; texts and words of any length are encoded whole; an empty table
     gives no rows; other columns are not looked at.
     """
-    spark: SparkSession = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    path = new_folder(spark, "bpe-chunks")
-    doc_columns(docs).mapInArrow(_chunker(buckets, chunk_chars), _CHUNK_TYPES).write.parquet(path, compression="none")
-    chunks = spark.read.schema(_CHUNK_TYPES).parquet(path)
-    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "payload", "more", "doc_ids", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(_word_encoder(ranks), _CHUNK_TYPES)
-    back = chunks.filter("bucket < 0").unionByName(ids).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return back.mapInArrow(_assemble, "doc_id long, token_ids array<int>")
+    return _id_blocks(docs, vocabulary, chunk_chars).mapInArrow(_assemble, "doc_id long, token_ids array<int>")
 
 
 def _decoder(ranks_of):
@@ -297,5 +353,8 @@ def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def encode_and_check(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, n_tokens, token_ids, text_md5); the digest is of the text as decoded from the ids."""
-    decoded = decode(encode(docs, vocabulary=vocabulary), vocabulary=vocabulary)
+    blocks = _id_blocks(docs, vocabulary, CHUNK_CHARS)
+    join_bytes = _decoder(blocks.sparkSession.sparkContext.broadcast(read_ranks(vocabulary)))
+    # both steps in one worker, so that ids don't go through the JVM between them
+    decoded = blocks.mapInArrow(lambda batches: join_bytes(_assemble(batches)), "doc_id long, token_ids array<int>, bytes binary")
     return decoded.select("doc_id", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), "token_ids", F.md5("bytes").alias("text_md5"))

@@ -128,6 +128,13 @@ def test_bpe_round_trip(spark, odd, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_check(spark, odd):
+    md5 = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    rows = bpe.encode_and_check(odd).collect()
+    assert Counter((r["doc_id"], r["text_md5"]) for r in rows) == Counter((d, md5(t)) for d, t in ODD)
+    assert all((r["n_tokens"] is None) == (r["token_ids"] is None) and (r["n_tokens"] or 0) == len(r["token_ids"] or []) for r in rows)
+
+
 def test_bpe_equals_the_public_encoder(spark, odd):
     import tiktoken
 
