@@ -206,6 +206,40 @@ def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
 
 
+def test_secrets_joined_to_other_text(spark):
+    rng = random.Random(11)
+    hexes, upper, mixed = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
+    some = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    uuid = lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))
+    kinds = {
+        "key": lambda: ("key-", some(hexes, 32), ""),
+        "sk_test": lambda: ("sk_test_", some(hexes, 32), ""),
+        "path": lambda: ("api/v1/", some(hexes, 40), "/edit"),
+        "long path": lambda: ("v1/projects/default/secrets/", some(mixed + "+/", 40), ""),
+        "numbers": lambda: (f"xoxb-{some(string.digits, 12)}-{some(string.digits, 12)}-", some(mixed, 32), ""),
+        "letters": lambda: ("SK", some(hexes, 32), ""),
+        "upper": lambda: ("", some(upper, 40), ""),
+        "upper after letters": lambda: ("AKIA", some(upper, 16), ""),
+        "uuid": lambda: ("users/", uuid(), ""),
+    }
+    made = [(kind, *make()) for kind, make in kinds.items() for _ in range(20)]
+    two = [(some(hexes, 32), some(hexes, 32)) for _ in range(10)]
+    prose = [(i, words(300, i, 4) + " state-of-the-art/internationalization_of_ordinary-words 2024-01-02-2024-03-04") for i in range(60)]
+    rows = prose + [(1000 + i, f"see {before}{key}{after} there") for i, (_, before, key, after) in enumerate(made)] + [(2000 + i, f"{a}/{b}") for i, (a, b) in enumerate(two)]
+    docs = table(spark, rows)
+    found = secrets.find_secrets(docs).collect()
+    tokens = {}
+    for r in found:
+        tokens.setdefault(r["doc_id"], []).append(r["token"])
+        assert dict(rows)[r["doc_id"]].encode()[r["byte_offset"] :].startswith(r["token"].encode())
+    missed = [kind for i, (kind, _, key, _) in enumerate(made) if not any(key in t for t in tokens.get(1000 + i, []))]
+    assert all(missed.count(kind) <= 2 for kind in kinds), missed
+    assert sum(all(any(k in t for t in tokens.get(2000 + i, [])) for k in pair) for i, pair in enumerate(two)) >= 9
+    assert min(tokens) >= 1000
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert sum(key in clean[1000 + i] for i, (_, _, key, _) in enumerate(made)) <= len(missed)
+
+
 # SimHash
 
 
