@@ -30,7 +30,7 @@ from docwarden.llm.textkernels import ALNUM, FOLDED_CODES, bit_votes, mix, runs
 
 WIDTH = 4
 RADIUS = 40
-BANDS = 18
+BANDS = 48
 BAND_BITS = 16
 BLOCK_ROWS = 8192
 _SHORT_RUN = 48

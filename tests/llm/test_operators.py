@@ -291,6 +291,21 @@ def test_near_edges_equal_all_pairs_within_the_radius(spark):
         assert all(expected[d] == expected[found[d]] for d in plain)
 
 
+@pytest.mark.parametrize("distance", [36, simhash.RADIUS])
+def test_groups_of_two_near_the_radius_meet(spark, distance):
+    rng = random.Random(distance)
+    rows = []
+    for g in range(1000):
+        base = rng.getrandbits(256)
+        for c, bits in enumerate((base, base ^ sum(1 << b for b in rng.sample(range(256), distance)))):
+            words = [bits >> 64 * w & (2**64 - 1) for w in range(4)]
+            rows.append((2 * g + c, *(w - 2**64 if w >> 63 else w for w in words)))
+    sigs = spark.createDataFrame(rows, "doc_id long, s0 long, s1 long, s2 long, s3 long")
+    met = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_edges(sigs).collect()}
+    assert met <= {(2 * g, 2 * g + 1) for g in range(1000)}
+    assert len(met) >= 930, len(met)
+
+
 def test_near_duplicates_of_odd_documents(spark, odd, empty):
     found = {r["doc_id"]: r["kept_id"] for r in simhash.near_duplicates(odd).collect()}
     assert found == {3: 2}
