@@ -154,12 +154,12 @@ def learn_stems(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").distinct()
     place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # a bound on the hash keeps the window small: labels far from the least hashes can't be in the sample
-    count = known.count()
-    if not count:
+    # a bound on the hash, from each class's own count, keeps the window small
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if not counts:
         return []
-    share = min(1.0, 20 * sample_rows / count)
-    near = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    bounds = {c: math.ceil(min(1.0, 20 * sample_rows / n) * 1_000_000) for c, n in counts.items()}
+    near = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, bounds.get(1, 0)).otherwise(bounds.get(0, 0)))
     wanted = near.withColumn("place", place).filter((F.col("place") <= F.when(F.col("toxic") == 1, sample_rows // 3).otherwise(sample_rows - sample_rows // 3))).select("doc_id", "toxic")
     rows = doc_columns(docs).filter("text is not null").join(F.broadcast(wanted), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")

@@ -411,6 +411,15 @@ def test_toxic_words_are_learned(spark):
     assert found == {i for i, _, t in marks if t}
 
 
+def test_rare_toxic_labels_are_learned_from(spark):
+    toxic = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} blargle {chr(97 + i % 26)}q{chr(97 + i // 26)}") for i in range(60)]
+    plain = spark.range(1000, 101_000).selectExpr("id as doc_id", "concat('plain ', translate(cast(id as string), '0123456789', 'abcdefghij'), ' words here') as text")
+    docs = spark.createDataFrame(toxic, "doc_id long, text string").unionByName(plain)
+    known = docs.selectExpr("doc_id", "cast(doc_id < 1000 as int) as toxic")
+    # 180 rows: a third is 60, so every toxic row is in the sample
+    assert any("blargle".startswith(s) for s in toxicity.learn_stems(docs, known, sample_rows=180))
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = {r["doc_id"] for r in toxicity.toxic_documents(docs, marks.filter("doc_id % 2 = 0")).collect()}
