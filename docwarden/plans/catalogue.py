@@ -130,13 +130,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bundled rules over the documents; tests hold each rule against the operators' definitions."""
+    """Bundled rules that look at one text, without front matter, over the documents; README names those left out."""
     return flagship(spark, sf_dir)
 
 
 @query()
 def scan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All bundled rules over the composed documents, with suppression."""
+    """The rules of scan_documents over the composed documents, with suppression."""
     return told(scan(cards(spark, sf_dir), _rules()))
 
 
