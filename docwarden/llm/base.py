@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,22 @@ def doc_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def whole_rows(docs: DataFrame, *extra: Column) -> DataFrame:
+    """Every row as one struct column ``row`` beside the extra columns, so that no name of the table can clash with theirs."""
+    return docs.select(F.struct("*").alias("row"), *extra)
+
+
+def unwrapped(batch: pa.RecordBatch) -> tuple[list[str], list[pa.Array]]:
+    """Names and arrays of the struct column ``row``."""
+    rows = batch["row"]
+    return [rows.type.field(i).name for i in range(rows.type.num_fields)], rows.flatten()
+
+
+def version_of(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """Replaces the text and, where the table has one, the count of its characters."""
     out = docs.withColumn("text", text)

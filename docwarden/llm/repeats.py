@@ -17,7 +17,14 @@ far anything repeats it.
 
 Scale: one shuffle carries about 40 bytes per anchor (one per dozen words), one
 more the contexts that differ, and the texts move once, to meet the requests
-for their contexts.  Contexts of one anchor hash meet in one task.
+for their contexts.  Contexts of one anchor hash meet in one task, so two kinds
+of anchors are taken apart before the shuffle.  Equal contexts that one task has
+are collapsed to the first of them, and the others become marks at once.  And
+where an anchor has very many contexts (a licence line with many surroundings),
+each of its grams becomes an anchor and context of its own: equal grams still
+meet, and nothing needs a suffix array.  Which anchors those are is estimated on
+every sixteenth document; both ways give the same result, so the estimate only
+decides about speed.
 """
 
 from __future__ import annotations
@@ -29,20 +36,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwarden.llm.base import cut, doc_columns, with_text
+from docwarden.llm.base import cut, doc_columns, unwrapped, version_of, whole_rows, with_text
 from docwarden.llm.lyndon import common_prefixes, suffix_array
 from docwarden.llm.textkernels import EXACT, EXACT_CODES, Words, geometric_pair, gram_hashes, mix, runs, sliding_min, string_parts
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 25
+#: an anchor of more contexts than this, and of more than this share of all, is taken apart
+CROWD = 4096
+CROWD_SHARE = 1e-4
+_SAMPLED = 16
+_HELD = 1 << 18
+_FOUND = ["anchor", "context", "doc_id", "version", "span", "weight"]
+_FOUND_TYPES = "anchor long, context long, doc_id long, version long, span long, weight long"
 
 
-def _anchors(min_words: int, anchor_words: int):
+def _collapse(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows of (anchor, context, doc_id, version, span) with weights: the first of equal contexts has their number.
+
+    The others have weight 0 and an anchor of their own, so that they are spread.
+    """
+    anchor, context, doc, version, span = (np.concatenate(x) for x in zip(*parts))
+    weight = np.ones(len(anchor), dtype=np.int64)
+    key = mix(anchor.view(np.uint64)) ^ context.view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])))
+    start = np.flatnonzero(new)
+    size = np.diff(np.concatenate((start, [len(key)])))
+    if len(start) < len(key):
+        many = np.repeat(size > 1, size)
+        mine, group = order[many], np.repeat(np.arange(len(start)), size)[many]
+        mine = mine[np.lexsort((span[mine], version[mine], doc[mine], group))]
+        group = np.repeat(np.flatnonzero(size > 1), size[size > 1])
+        lead = np.concatenate(([True], group[1:] != group[:-1]))
+        weight[mine[lead]] = size[size > 1]
+        later = mine[~lead]
+        weight[later] = 0
+        anchor = anchor.copy()
+        anchor[later] = mix(doc[later].view(np.uint64) * np.uint64(3) ^ span[later].view(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, doc, version, span, weight)], names=_FOUND)
+
+
+def _anchors(min_words: int, anchor_words: int, crowded: list[int]):
     window = min_words - anchor_words + 1
+    apart = np.array(sorted(crowded), dtype=np.int64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for part in find(batches):
+            held.append(part)
+            rows += len(part[0])
+            if rows >= _HELD:
+                yield _collapse(held)
+                held, rows = [], 0
+        if held:
+            yield _collapse(held)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
+            ids, versions = batch["doc_id"].to_numpy(), batch["version"].to_numpy()
             for first, _, words in runs(batch["text"]):
                 n = len(words.hash)
                 if n < min_words:
@@ -58,14 +111,18 @@ def _anchors(min_words: int, anchor_words: int):
                 new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])))
                 lead = np.flatnonzero(new)
                 count = np.diff(np.concatenate((lead, [len(starts)])))
-                lo, anchor = starts[lead], at[lead]
-                length = count + min_words - 1
-                context = _range_hash(words.hash, lo, length)
+                lo, anchor = starts[lead], grams[at[lead]].view(np.int64)
+                if len(apart):
+                    crowd = np.isin(anchor, apart)
+                    if crowd.any():
+                        times = np.where(crowd, count, 1)
+                        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                        lo, count, single = np.repeat(lo, times) + step, np.repeat(np.where(crowd, 1, count), times), np.repeat(crowd, times)
+                        anchor = np.repeat(anchor, times)
+                        anchor[single] = mix(_range_hash(words.hash, lo[single], np.full(int(single.sum()), min_words)) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+                context = _range_hash(words.hash, lo, count + min_words - 1)
                 d = doc[lo]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (grams[anchor].view(np.int64), context.view(np.int64), ids[first + d], (lo - words.doc_start[d]).astype(np.int64) << 12 | count)],
-                    names=["anchor", "context", "doc_id", "span"],
-                )
+                yield anchor, context.view(np.int64), ids[first + d], versions[first + d], (lo - words.doc_start[d]).astype(np.int64) << 12 | count
 
     return emit
 
@@ -107,8 +164,8 @@ def _contexts(min_words: int):
                 texts = pa.array([words.data[a:b].tobytes() for a, b in zip(byte_lo, byte_hi)], pa.binary())
                 chosen = fields.take(pa.array(mine))
                 yield pa.RecordBatch.from_arrays(
-                    [chosen.field("anchor"), batch["doc_id"].take(pa.array(owner[mine])), chosen.field("span"), chosen.field("copies"), texts.cast(pa.string())],
-                    names=["anchor", "doc_id", "span", "copies", "text"],
+                    [chosen.field("anchor"), *(batch[c].take(pa.array(owner[mine])) for c in ("doc_id", "version")), chosen.field("span"), chosen.field("copies"), texts.cast(pa.string())],
+                    names=["anchor", "doc_id", "version", "span", "copies", "text"],
                 )
 
     return fetch
@@ -165,7 +222,7 @@ def repeated_extents(symbols: list[int], weights: list[int], rest: list[int]) ->
 
 
 def _marks_of_group(contexts: list[tuple[int, int, int, int]], symbol: np.ndarray, starts: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int, bool]]:
-    """Marks (doc_id, start word, end word, cut) of one anchor's contexts, which come in order of (doc_id, span).
+    """Marks (context, start word, end word, cut) of one anchor's contexts, which come in order of (doc_id, version, span).
 
     contexts: (first position, length, index of the document's word, copies).
     """
@@ -199,14 +256,14 @@ def _marks_of_group(contexts: list[tuple[int, int, int, int]], symbol: np.ndarra
 
 def _sorter(min_words: int):
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (anchor, doc_id, span)."""
+        """Rows arrive sorted by (anchor, doc_id, version, span)."""
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             data, bounds = string_parts(table["text"])
             words = Words(data, bounds, EXACT, EXACT_CODES)
-            anchor, doc_id = table["anchor"].to_numpy(), table["doc_id"].to_numpy()
+            anchor, doc_id, version = (table[c].to_numpy() for c in ("anchor", "doc_id", "version"))
             lo, copies = table["span"].to_numpy() >> 12, table["copies"].to_numpy()
             context = words.doc_of()
             symbol, starts = _runs_of_words(anchor.view(np.uint64)[context], context, words.hash)
@@ -218,7 +275,7 @@ def _sorter(min_words: int):
                 out += [(g + c, a, b, gone) for c, a, b, gone in _marks_of_group(group, symbol, starts, min_words)]
             if out:
                 row, a, b, gone = (np.array(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id[row]), pa.array(lo[row] + a), pa.array(lo[row] + b), pa.array(gone.astype(bool))], names=["doc_id", "start_word", "end_word", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id[row]), pa.array(version[row]), pa.array(lo[row] + a), pa.array(lo[row] + b), pa.array(gone.astype(bool))], names=["doc_id", "version", "start_word", "end_word", "gone"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -238,34 +295,47 @@ def _sorter(min_words: int):
     return sort_groups
 
 
+def crowded_anchors(docs: DataFrame, min_words: int, anchor_words: int) -> list[int]:
+    """Anchors that seem to have so many contexts that one task shouldn't hold them; at most 1 / CROWD_SHARE of them."""
+    sampled = docs.filter(F.pmod(F.xxhash64("doc_id", "version"), F.lit(_SAMPLED)) == 0)
+    counts = sampled.mapInArrow(_anchors(min_words, anchor_words, []), _FOUND_TYPES).filter("weight > 0").groupBy("anchor").agg(F.count("*").alias("n"))
+    often = cut(counts.filter(F.col("n") > CROWD / _SAMPLED))
+    if often.isEmpty():
+        return []
+    total = counts.agg(F.sum("n")).first()[0]
+    return [r["anchor"] for r in often.filter(F.col("n") > total * CROWD_SHARE).collect()]
+
+
 def _marks(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
-    """Marks (doc_id, start_word, end_word, gone): gone where grams occurred before, else where a repeated gram occurs first."""
+    """Marks (doc_id, version, start_word, end_word, gone): gone where grams occurred before, else where a repeated gram occurs first."""
     if not anchor_words < min_words <= 2048:
         raise ValueError("anchor_words < min_words <= 2048 is needed")
-    found = docs.mapInArrow(_anchors(min_words, anchor_words), "anchor long, context long, doc_id long, span long").repartition("anchor")
+    crowded = crowded_anchors(docs, min_words, anchor_words)
+    found = docs.mapInArrow(_anchors(min_words, anchor_words, crowded), _FOUND_TYPES).repartition("anchor")
     kind, hashed = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     seen = (
-        found.withColumn("nth", F.row_number().over(kind.orderBy("doc_id", "span")))
-        .withColumn("copies", F.count("*").over(kind))
+        found.withColumn("nth", F.row_number().over(kind.orderBy("doc_id", "version", "span")))
+        .withColumn("copies", F.sum("weight").over(kind))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(hashed))
-        .filter("copies > 1 or kinds > 1")
+        .filter("copies > 1 or kinds > 1 or weight = 0")
     )
     seen = cut(seen)
     end = (F.shiftright("span", 12) + F.col("span").bitwiseAND(4095) + (min_words - 1)).alias("end_word")
-    whole = seen.filter("nth > 1 or kinds = 1").select("doc_id", F.shiftright("span", 12).alias("start_word"), end, (F.col("nth") > 1).alias("gone"))
-    wanted = seen.filter("nth = 1 and kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "span", "copies")).alias("requests"))
-    fetched = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_contexts(min_words), "anchor long, doc_id long, span long, copies long, text string")
-    sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "span").mapInArrow(_sorter(min_words), "doc_id long, start_word long, end_word long, gone boolean")
+    gone = ((F.col("nth") > 1) | (F.col("weight") == 0)).alias("gone")
+    whole = seen.filter("nth > 1 or kinds = 1 or weight = 0").select("doc_id", "version", F.shiftright("span", 12).alias("start_word"), end, gone)
+    wanted = seen.filter("nth = 1 and kinds > 1 and weight > 0").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "span", "copies")).alias("requests"))
+    fetched = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "version"]).mapInArrow(_contexts(min_words), "anchor long, doc_id long, version long, span long, copies long, text string")
+    sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "span").mapInArrow(_sorter(min_words), "doc_id long, version long, start_word long, end_word long, gone boolean")
     return whole.unionByName(sorted_)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, marks in zip(batch["doc_id"].to_pylist(), batch["marks"].to_pylist()):
-            rows += [(doc, *x) for x in resolve([(m["start_word"], m["end_word"], m["gone"]) for m in marks])]
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "start_word", "end_word", "is_cut"])
+        for doc, version, marks in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["marks"].to_pylist()):
+            rows += [(doc, version, *x) for x in resolve([(m["start_word"], m["end_word"], m["gone"]) for m in marks])]
+        columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "version", "start_word", "end_word", "is_cut"])
 
 
 def resolve(marks: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
@@ -288,6 +358,12 @@ def resolve(marks: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
     return out
 
 
+def _intervals(known: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    """Rows (doc_id, version, start_word, end_word, is_cut) of documents (doc_id, version, text)."""
+    marks = _marks(known, min_words, anchor_words).groupBy("doc_id", "version").agg(F.collect_set(F.struct("start_word", "end_word", "gone")).alias("marks"))
+    return marks.mapInArrow(_differences, "doc_id long, version long, start_word long, end_word long, is_cut boolean")
+
+
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """Rows (doc_id, start_word, end_word, is_cut) for the words of grams that occur more than once.
 
@@ -297,34 +373,37 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, anchor_wor
     and cut if only later occurrences do; so each repeated gram stays whole once.
     Intervals count words from 0, exclude their end, are disjoint and as long as
     can be.  Defined cases: documents of fewer words, empty or null texts and
-    null ids have no rows; repeats inside one document count; rows that repeat a
-    doc_id are one document (the one of greatest text); an empty table gives no
-    rows; columns besides doc_id and text are not looked at.
+    null ids have no rows; repeats inside one document count; rows that repeat
+    both id and text are one document; unlike texts of one id are documents of
+    their own (in the order of a hash of the text), and their intervals all have
+    that id; an empty table gives no rows; columns besides doc_id and text are
+    not looked at.
     """
-    known = _distinct_ids(docs)
-    marks = _marks(known, min_words, anchor_words).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", "gone")).alias("marks"))
-    return marks.mapInArrow(_differences, "doc_id long, start_word long, end_word long, is_cut boolean")
+    return _intervals(_distinct(docs)[0], min_words, anchor_words).drop("version")
 
 
-def _distinct_ids(docs: DataFrame) -> DataFrame:
+def _distinct(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct documents (doc_id, version, text), and whether ids repeat; without repeats all versions are 0."""
     known = doc_columns(docs).filter("doc_id is not null and text is not null")
-    # only ids that repeat are grouped, so that texts don't move for a table without them
+    # only ids that repeat are made distinct, so that texts don't move for a table without them
     twice = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if twice.isEmpty():
-        return known
-    rest = known.join(twice, "doc_id", "left_anti")
-    return rest.unionByName(known.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
+        return known.select("doc_id", F.lit(0).cast("long").alias("version"), "text"), False
+    several = known.join(twice, "doc_id", "left_semi").distinct()
+    every = known.join(twice, "doc_id", "left_anti").unionByName(several)
+    return every.select("doc_id", version_of(F.col("text")).alias("version"), "text"), True
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces ``text`` by what is left of it; ``cuts`` has the cut intervals or null."""
+    """Gives the rows back with what is left of their text; ``cuts`` has the cut intervals or null."""
     for batch in batches:
+        names, columns = unwrapped(batch)
+        at = names.index("text")
         cuts = batch["cuts"].to_pylist()
-        texts = batch["text"].to_pylist()
-        at = batch.schema.get_field_index("text")
         marked = [i for i, x in enumerate(cuts) if x]
         if marked:
-            for first, stop, words in runs(batch["text"].take(pa.array(marked))):
+            texts = columns[at].to_pylist()
+            for first, stop, words in runs(columns[at].take(pa.array(marked))):
                 for d in range(stop - first):
                     i = marked[first + d]
                     raw = words.data[words.doc_byte[d] : words.doc_byte[d + 1]].tobytes()
@@ -332,22 +411,27 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out, last = [], 0
                     for x in sorted((x["lo"], x["hi"]) for x in cuts[i]):
                         lo, hi = w0 + x[0], w0 + x[1]
-                        if hi > w1:
-                            continue
                         out.append(raw[last : words.start[lo] - base])
                         last = (words.start[hi] - base) if hi < w1 else len(raw)
                     texts[i] = b"".join([*out, raw[last:]]).decode("utf-8")
-        columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(batch.num_columns) if batch.schema.names[c] != "cuts"]
-        yield pa.RecordBatch.from_arrays(columns, names=[x for x in batch.schema.names if x != "cuts"])
+            columns[at] = pa.array(texts, columns[at].type)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def cut_repeats(docs: DataFrame, **limits: int) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """The documents without the words that :func:`repeated_passages` cuts; all rows and columns stay.
 
     White space after a cut passage goes with it.  ``n_chars`` follows the text.
+    Defined cases: rows with a null id or text and texts of fewer words stay as
+    they are, null texts null; rows that repeat both id and text are one document
+    and are all cut alike; of unlike texts of one id each is cut by its own
+    intervals; a text that is all repeats becomes empty; an empty table stays
+    empty; other columns may have any names.
     """
-    cuts = repeated_passages(docs, **limits).filter("is_cut").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(F.col("start_word").alias("lo"), F.col("end_word").alias("hi"))).alias("cuts"))
-    joined = docs.join(cuts, docs["doc_id"] == cuts["__id"], "left").drop("__id")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = joined.mapInArrow(_cutter, types)
-    return with_text(out, F.col("text")) if "n_chars" in docs.columns else out
+    known, repeat = _distinct(docs)
+    gone = _intervals(known, min_words, anchor_words).filter("is_cut")
+    cuts = gone.groupBy("doc_id", "version").agg(F.collect_list(F.struct(F.col("start_word").alias("lo"), F.col("end_word").alias("hi"))).alias("cuts"))
+    version = version_of(docs["text"].cast("string")) if repeat else F.lit(0).cast("long")
+    rows = whole_rows(docs, docs["doc_id"].cast("long").alias("doc_id"), version.alias("version"))
+    joined = rows.join(cuts, ["doc_id", "version"], "left").select("row", "cuts")
+    return with_text(joined.mapInArrow(_cutter, docs.schema), F.col("text"))
