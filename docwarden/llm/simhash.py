@@ -10,32 +10,38 @@ spanning forest leave a bucket, and connected components make the groups.
 Scale: the shuffles carry signatures (about 50 bytes a document and band),
 never texts.  Buckets of more than ``block_rows`` rows are cut into blocks whose
 pairs are separate tasks, so no task holds a whole bucket; all pairs are still
-compared.  ``band_bits`` sets the work: at 2**band_bits buckets a band, raise it
-together with ``bands`` for corpora of many billions.
+compared.  The bits of a band follow from the number of distinct signatures, so
+that a bucket of unlike ones has about ``BUCKET_ROWS`` whatever the corpus's size,
+and the number of bands follows from the bits, so that a pair at the radius
+itself meets with probability ``RECALL`` (nearer ones more often: 0.999 at 25).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from docwarden.llm.base import cut, doc_columns
+from docwarden.llm.base import cut, doc_columns, version_of, whole_rows
 from docwarden.llm.bitslice import block_pairs, near_in_runs
 from docwarden.llm.components import components
 from docwarden.llm.textkernels import ALNUM, FOLDED_CODES, bit_votes, mix, runs
 
 WIDTH = 4
 RADIUS = 40
-BANDS = 48
-BAND_BITS = 16
+RECALL = 0.97
+BUCKET_ROWS = 64
+LEAST_BAND_BITS = 16
 BLOCK_ROWS = 8192
 _SHORT_RUN = 48
 _SEEDS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_SIGNATURE = ", ".join(f"s{i} long" for i in range(WIDTH))
+_WORDS = [f"s{i}" for i in range(WIDTH)]
+_SIGNATURE = ", ".join(f"{w} long" for w in _WORDS)
 
 
 def signatures_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -59,16 +65,23 @@ def signatures_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def bands_for(rows: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
+    """Number of bands and bits of each for a number of distinct signatures."""
+    bits = max(LEAST_BAND_BITS, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))
+    meet = (1 - radius / (64 * WIDTH)) ** bits
+    return math.ceil(math.log(1 - recall) / math.log1p(-meet)), bits
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = signatures_of(batch["text"]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(words[:, i].copy()) for i in range(WIDTH))], names=["doc_id", *(f"s{i}" for i in range(WIDTH))])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], *(pa.array(words[:, i].copy()) for i in range(WIDTH))], names=["doc_id", "version", *_WORDS])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id and signature of every document that has an id and a text."""
+    """doc_id, version (a hash of the text) and signature of every row that has an id and a text."""
     known = doc_columns(docs).filter("doc_id is not null and text is not null")
-    return known.mapInArrow(_signature_batches, f"doc_id long, {_SIGNATURE}")
+    return known.select("doc_id", version_of(F.col("text")).alias("version"), "text").mapInArrow(_signature_batches, f"doc_id long, version long, {_SIGNATURE}")
 
 
 def _band_places(bands: int, band_bits: int) -> np.ndarray:
@@ -83,7 +96,7 @@ def _bander(bands: int, band_bits: int):
         places = _band_places(bands, band_bits)
         weights = 1 << np.arange(band_bits, dtype=np.int64)
         for batch in batches:
-            words = np.stack([batch[f"s{i}"].to_numpy(zero_copy_only=False) for i in range(WIDTH)], axis=1)
+            words = np.stack([batch[w].to_numpy(zero_copy_only=False) for w in _WORDS], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
             for band in range(bands):
                 key = bits[:, places[band]].astype(np.int64) @ weights + (band << band_bits)
@@ -151,7 +164,7 @@ def _comparer(radius: int):
                 continue
             column = lambda name: batch[name].to_numpy(zero_copy_only=False)
             key = np.stack([column("bucket"), column("first"), column("second")], axis=1)
-            row = (key, column("doc_id"), np.stack([column(f"s{i}") for i in range(WIDTH)], axis=1).view(np.uint64), column("side"))
+            row = (key, column("node"), np.stack([column(w) for w in _WORDS], axis=1).view(np.uint64), column("side"))
             # what belongs to the last key of this batch may go on in the next one
             ends = np.flatnonzero(np.any(key != key[-1], axis=1))
             split = int(ends[-1]) + 1 if len(ends) else 0
@@ -168,13 +181,14 @@ def _comparer(radius: int):
     return compare
 
 
-def near_edges(sigs: DataFrame, *, radius: int = RADIUS, bands: int = BANDS, band_bits: int = BAND_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) that join all signatures within the radius that share a bucket."""
-    cols = ["doc_id", *(f"s{i}" for i in range(WIDTH))]
-    spread = sigs.select(*cols).mapInArrow(_bander(bands, band_bits), f"bucket long, doc_id long, {_SIGNATURE}")
+def near_edges(sigs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) that join all signatures (node, s0 .. s3) within the radius that share a bucket."""
+    cols = ["node", *_WORDS]
+    bands, band_bits = bands_for(sigs.count(), radius, recall)
+    spread = sigs.select(*cols).mapInArrow(_bander(bands, band_bits), f"bucket long, node long, {_SIGNATURE}")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
     sized = spread.join(sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "bucket", "left")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a bucket of one block meets itself; with more, block x meets every block y once, as the pair (least, greatest)
     parts = F.when(F.coalesce("blocks", F.lit(1)) <= 1, F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(0).alias("side")))).otherwise(
         F.transform(
@@ -183,43 +197,58 @@ def near_edges(sigs: DataFrame, *, radius: int = RADIUS, bands: int = BANDS, ban
         )
     )
     placed = sized.select(*cols, "bucket", F.explode(parts).alias("p")).select("bucket", "p.first", "p.second", "p.side", *cols)
-    ordered = placed.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "side", "doc_id")
+    ordered = placed.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "side", "node")
     return ordered.mapInArrow(_comparer(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, **limits: int) -> DataFrame:
+def _groups(docs: DataFrame, **limits: float) -> DataFrame:
+    """Rows (doc_id, version, kept) of the distinct texts of every id; kept: (doc_id, version) of the first of the group."""
+    sigs = cut(signatures(docs).distinct())
+    nodes = sigs.groupBy(*_WORDS).agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count("*").alias("texts"))
+    # numbered behind a checkpoint, so that every reader sees the same numbers
+    nodes = cut(nodes).withColumn("node", F.monotonically_increasing_id())
+    linked = components(near_edges(nodes.select("node", *_WORDS), **limits)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("texts").alias("texts")).filter("texts > 1")
+    # what is in no group isn't looked up again
+    placed = rooted.join(least.select("root", "kept"), "root").select(*_WORDS, "kept")
+    return sigs.join(placed, _WORDS).select("doc_id", "version", "kept")
+
+
+def near_duplicates(docs: DataFrame, **limits: float) -> DataFrame:
     """One row (doc_id, kept_id, copies) for each document that repeats another.
 
     ``kept_id`` is the least doc_id of the group and has no row of its own;
     ``copies`` counts the group's distinct ids.  Two documents are in one group
-    if a chain of pairs within ``radius`` of 256 bits joins them.  Defined
-    cases: a null id or null text is in no group; texts without a word (empty,
-    only punctuation) are copies of each other; rows that repeat a doc_id are
-    the same document; ties go to the least id; an empty table gives no rows;
-    columns besides doc_id and text are not looked at.  Texts are read whole.
+    if a chain of pairs that met joins them: of pairs within ``radius`` of 256
+    bits all of equal signature meet, and others if they share a bucket, which
+    they do with probability ``recall`` at the radius and more often below.
+    Defined cases: a null id or null text is in no group; texts without a word
+    (empty, only punctuation) are copies of each other; rows that repeat both id
+    and text are one document; an id with unlike texts may be in several groups,
+    of which the one of least kept_id counts; ties go to the least id; an empty
+    table gives no rows; columns besides doc_id and text are not looked at.
+    Texts are read whole.
     """
-    words = [f"s{i}" for i in range(WIDTH)]
-    sigs = cut(signatures(docs).distinct())
-    of = Window.partitionBy(*words)
-    same = cut(sigs.withColumn("rep", F.min("doc_id").over(of)))
-    reps = same.filter("doc_id = rep").select("doc_id", *words)
-    near = near_edges(reps, **limits)
-    linked = components(near)
-    first = same.select("doc_id", "rep").join(linked.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
-    group = first.select("doc_id", F.coalesce("root", "rep").alias("kept_id")).distinct()
-    # an id that repeats with different texts may be in two groups: the least one counts
-    group = group.groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
-    counted = group.withColumn("copies", F.count("*").over(Window.partitionBy("kept_id")))
-    return counted.filter("doc_id <> kept_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **limits: int) -> DataFrame:
-    """The documents without those that repeat another; all columns stay.
-
-    Of rows that repeat a doc_id one stays (the one of least text); rows with a
-    null id or null text all stay.
+    group = _groups(docs, **limits).groupBy("doc_id").agg(F.min("kept.doc_id").alias("kept_id"))
+    sizes = group.groupBy("kept_id").agg(F.count("*").alias("copies"))
+    return group.filter("doc_id <> kept_id").join(sizes, "kept_id").select("doc_id", "kept_id", "copies")
+
+
+def drop_near_duplicates(docs: DataFrame, **limits: float) -> DataFrame:
+    """The rows without those that repeat another; all columns stay.
+
+    Of each group of :func:`near_duplicates` the row of least (doc_id, hash of
+    the text) stays.  Defined cases: rows with a null id or null text all stay;
+    of rows that repeat both id and text one stays; unlike texts of one id are
+    judged each by its own; other columns may have any names; an empty table
+    stays empty.
     """
-    lost = near_duplicates(docs, **limits).select(F.col("doc_id").alias("__lost_id"))
-    left = docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__rank", rank).filter("__rank = 1 or doc_id is null or text is null").drop("__rank")
+    lost = _groups(docs, **limits).filter("kept.doc_id <> doc_id or kept.version <> version").select("doc_id", "version")
+    text, doc = docs["text"].cast("string"), docs["doc_id"].cast("long")
+    # rows that are never compared are spread by all they hold
+    apart = F.when(doc.isNull() | text.isNull(), F.xxhash64(F.struct(*(docs[f"`{c}`"] for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType))))).otherwise(0)
+    rows = whole_rows(docs, doc.alias("doc_id"), version_of(text).alias("version"), apart.alias("apart"), (doc.isNull() | text.isNull()).alias("free"))
+    left = rows.join(lost.withColumn("apart", F.lit(0).cast("long")), ["doc_id", "version", "apart"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "version", "apart").orderBy("free"))
+    return left.withColumn("place", place).filter("place = 1 or free").select("row.*")
