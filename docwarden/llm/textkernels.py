@@ -78,12 +78,13 @@ class Words:
     """Words of a run of documents: byte spans, hashes and document bounds.
 
     ``doc_start`` has one entry more than there are documents; the words of
-    document d are ``doc_start[d]:doc_start[d + 1]``.
+    document d are ``doc_start[d]:doc_start[d + 1]``.  Without codes there are
+    no hashes.
     """
 
     __slots__ = ("data", "start", "end", "hash", "doc_start", "doc_byte")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, codes: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, codes: np.ndarray | None):
         self.data, self.doc_byte = data, bounds
         kind = kinds[data]
         inside = kind > 0
@@ -97,7 +98,9 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.doc_start = np.searchsorted(self.start, bounds)
-        if len(self.start):
+        if codes is None:
+            self.hash = np.zeros(0, dtype=np.uint64)
+        elif len(self.start):
             up, down = geometric_pair(len(data))
             weighted = codes[data] * up
             weighted[~inside] = 0
@@ -126,7 +129,7 @@ def string_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, bounds - bounds[0]
 
 
-def runs(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray = EXACT, codes: np.ndarray = EXACT_CODES) -> Iterator[tuple[int, int, Words]]:
+def runs(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray = EXACT, codes: np.ndarray | None = EXACT_CODES) -> Iterator[tuple[int, int, Words]]:
     """Yields (first row, last row + 1, Words) over a string column."""
     data, bounds = string_parts(column)
     n, row = len(bounds) - 1, 0
