@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,9 @@ from docwarden.llm.base import cut, new_folder
 GAP = 64 << 10
 MOST_BYTES = 16 << 20
 _BUFFER = 1 << 20
+#: compressed bytes that a task indexes or reads, where there are more than the cores can share
+TASK_BYTES = 64 << 20
+_LINE_BREAKS = re.compile(r"[\r\n]+")
 _DATE = "2024-01-01T00:00:00Z"
 INDEX_TYPES = "file string, offset long, length long, type string, record_id string, url string, digest string"
 
@@ -50,7 +54,7 @@ def record_bytes(page_id: int, url: str | None, html: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: {digest_of(body)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
     if url is not None:
-        head.insert(4, "WARC-Target-URI: " + "".join(url.splitlines()))
+        head.insert(4, "WARC-Target-URI: " + _LINE_BREAKS.sub("", url).strip(" \t"))
     packer = zlib.compressobj(5, zlib.DEFLATED, 31)
     raw = "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + http + body + b"\r\n\r\n"
     return packer.compress(raw) + packer.flush()
@@ -123,11 +127,11 @@ def parse_record(content: bytes) -> tuple[dict[str, str], bytes] | None:
     last = None
     for line in lines[1:]:
         if line[:1] in (" ", "\t") and last:
-            headers[last] += " " + line.strip()
+            headers[last] += " " + line.strip(" \t")
         else:
             name, _, value = line.partition(":")
             last = name.strip().lower()
-            headers[last] = value.strip()
+            headers[last] = value.strip(" \t")
     size = headers.get("content-length", "")
     if not size.isdigit() or int(size) > len(rest):
         return None
@@ -150,10 +154,21 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["file", "offset", "length", "type", "record_id", "url", "digest"])
 
 
+def _tasks(spark: SparkSession, units: int, size: int) -> int:
+    """Tasks for so many units of so many bytes together: enough for all cores, more for many bytes, no more than units."""
+    return max(1, min(units, max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+
+
 def index_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Index of the archives in a folder; members that are no WARC records are skipped."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
-    return listed.repartition("path").mapInArrow(_indexer, INDEX_TYPES)
+    """Index of the archives in a folder; members that are no WARC records are skipped.
+
+    A gzip file can only be read from its start, so an archive is one task's
+    work; the archives are dealt to as many tasks as their bytes ask for.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+    files, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # rows of paths are small, so the number of tasks is given; else adaptive execution would join them to one
+    return listed.select("path").repartition(_tasks(spark, files, size)).mapInArrow(_indexer, INDEX_TYPES)
 
 
 def ranges(records: list[tuple[int, int]], gap: int = GAP, most: int = MOST_BYTES) -> list[tuple[int, int, int]]:
@@ -184,12 +199,20 @@ def _reader(gap: int):
                         raw = memoryview(source.read_at(end - start, start))
                         rows = []
                         for i in range(at, at + n):
-                            content = zlib.decompress(raw[offsets[i] - start : offsets[i] - start + lengths[i]], 31)
-                            headers, block = parse_record(content)
+                            try:
+                                content = zlib.decompress(raw[offsets[i] - start : offsets[i] - start + lengths[i]], 31)
+                            except zlib.error:
+                                content = b""
+                            record = parse_record(content)
+                            if not record:
+                                continue
+                            headers, block = record
                             http, _, body = block.partition(b"\r\n\r\n")
                             status = http.split(b" ", 2)[1:2]
                             rows.append((headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-payload-digest"), int(status[0]) if status and status[0].isdigit() else None, body, digest_of(body) == headers.get("warc-payload-digest")))
                         at += n
+                        if not rows:
+                            continue
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.bool_()))], names=["record_id", "url", "digest", "status", "body", "sound"])
 
     return read
@@ -198,10 +221,15 @@ def _reader(gap: int):
 def read_records(selected: DataFrame, *, gap: int = GAP) -> DataFrame:
     """Rows (record_id, url, digest, status, body, sound) of the index rows given; ``sound``: the digest fits the body.
 
-    Only ``file``, ``offset`` and ``length`` of the index are used; rows that repeat are read again.
+    Only ``file``, ``offset`` and ``length`` of the index are used.  Defined
+    cases: rows with a null among these, and ranges that hold no whole WARC
+    record, give nothing; rows that repeat are read again; headers that a record
+    lacks are null; an empty table gives no rows.
     """
-    rows = selected.select("file", "offset", "length")
-    return rows.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(gap), "record_id string, url string, digest string, status int, body binary, sound boolean")
+    rows = selected.select("file", "offset", "length").filter("file is not null and offset is not null and length is not null")
+    number, size = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = _tasks(selected.sparkSession, number, size)
+    return rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(gap), "record_id string, url string, digest string, status int, body binary, sound boolean")
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -209,7 +237,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
     Of equal contents the record of least page_id is selected, on the index alone.
     Defined cases: pages without an id or html are not archived; a null url stays
-    null; line breaks in a url are dropped; rows that repeat an id are records of
+    null; line breaks in a url are dropped, and spaces and tabs around it; rows that repeat an id are records of
     their own (of equal content and id the first in the archives is read); an
     empty html is a content; an empty table gives no rows; other columns are not
     looked at.
