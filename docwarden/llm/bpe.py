@@ -12,7 +12,9 @@ fixed size.
 
 Scale: no row is made per token.  Shuffled are the chunk dictionaries (a few
 bytes per distinct word and chunk) alone; the compressed positions stay in the
-written table, from which the task that has a chunk's ids reads them.
+written table, from which the task that has a chunk's ids reads them.  Buckets of
+words follow the size of the input and are dealt to tasks by ranges; a task holds
+the words of one bucket at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ from docwarden.llm.base import doc_columns, new_folder
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 16 << 20
+#: a bucket for so many bytes of input, so that the distinct words of one fit in a task, and no more than so many
+BUCKET_BYTES = 4 << 20
+MOST_BUCKETS = 4096
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -296,12 +301,15 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _id_blocks(docs: DataFrame, vocabulary: str, chunk_chars: int) -> DataFrame:
     """What :func:`_assemble` takes."""
     spark: SparkSession = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the planner's estimate needs no scan; it only decides how finely the words are dealt
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(tasks, min(MOST_BUCKETS, size // BUCKET_BYTES))
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     path = new_folder(spark, "bpe-chunks")
     doc_columns(docs).mapInArrow(_chunker(buckets, chunk_chars), _CHUNK_TYPES).write.parquet(path, compression="none")
     chunks = spark.read.schema(_CHUNK_TYPES).parquet(path)
-    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "payload", "more", "doc_ids", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    words = chunks.filter("bucket >= 0").select("chunk", "bucket", "payload", "more", "doc_ids", "counts").repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_word_encoder(ranks), _CHUNK_TYPES).select("chunk", "bucket", F.lit(None).cast("string").alias("path"), "payload", "more")
     nothing = F.lit(None).cast("binary")
     places = chunks.filter("bucket < 0").select("chunk", "bucket", F.col("_metadata.file_path").alias("path"), nothing.alias("payload"), nothing.alias("more"))
@@ -345,7 +353,9 @@ def _decoder(ranks_of):
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
     """Adds ``bytes``, the joined token bytes, to rows (doc_id, token_ids); null ids give null, no ids give none.
 
-    Ids outside the vocabulary are an error.
+    Defined cases: ids outside the vocabulary, and null ones within a list, are
+    an error; a null doc_id is kept; repeated rows are each decoded; an empty table
+    gives no rows; other columns are not looked at.
     """
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     return encoded.select("doc_id", "token_ids").mapInArrow(_decoder(ranks), "doc_id long, token_ids array<int>, bytes binary")

@@ -23,7 +23,8 @@ EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x15
 SCALE, NUMBER, KIND, CODEC, DEFAULT_DURATION = 0x2AD7B1, 0xD7, 0x83, 0x86, 0x23E383
 TIME, SIMPLE, GROUP, BLOCK, DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
+#: what ends a cluster or segment of unknown size
+_TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
 
@@ -127,8 +128,8 @@ class Parser:
         self.data, self.media = data, Media()
         self.segment = 0
 
-    def _elements(self, at: int, end: int, stops: frozenset[int] | set[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
-        """(identifier, element start, content start, content end); an unknown size runs to an element of ``stops`` or the end."""
+    def _elements(self, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """(identifier, element start, content start, content end)."""
         while at < end:
             start = at
             name, at = read_id(self.data, at, end)
@@ -136,7 +137,7 @@ class Parser:
             if size is None:
                 if name not in (SEGMENT, CLUSTER):
                     raise Damaged("unknown size")
-                stop = end if name == SEGMENT else self._cluster_end(at, end)
+                stop = self._end_of(at, end, _TOP if name == CLUSTER else {EBML, SEGMENT})
             else:
                 stop = at + size
                 if stop > end:
@@ -146,15 +147,22 @@ class Parser:
             yield name, start, at, stop
             at = stop
 
-    def _cluster_end(self, at: int, end: int) -> int:
-        while at < end:
-            name, behind = read_id(self.data, at, end)
-            if name in _TOP:
-                return at
-            size, behind = read_size(self.data, behind, end)
-            if size is None:
-                raise Damaged("unknown size")
-            at = behind + size
+    def _end_of(self, at: int, end: int, stops: set[int]) -> int:
+        """Where an element of unknown size ends: at the first element that can't be its child, or where the bytes make no sense."""
+        try:
+            while at < end:
+                name, behind = read_id(self.data, at, end)
+                if name in stops:
+                    return at
+                size, behind = read_size(self.data, behind, end)
+                if size is not None:
+                    at = behind + size
+                elif name == CLUSTER:
+                    at = self._end_of(behind, end, _TOP)
+                else:
+                    break
+        except Damaged:
+            pass
         return end
 
     def _number(self, start: int, stop: int) -> int:
@@ -360,18 +368,18 @@ def packets(files: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
     return known.filter("media is not null").mapInArrow(_parse, PACKETS)
 
 
-def _sentences(line: str) -> list[bytes]:
-    return [s.encode("utf-8") for s in line.split(". ") if s][:256] if line.count(". ") < 256 else [line.encode("utf-8")]
-
-
 def text_media(text: str) -> bytes:
-    """A file with a text as two tracks: its lines as subtitles, a second apart, and their sentences as laced frames."""
+    """A file with a text as two tracks: its lines as subtitles, a second apart, and their sentences as laced frames.
+
+    A block laces 256 frames at most, so a line of more sentences has several blocks.
+    """
     tracks = [Track(1, 17, "S_TEXT/UTF8"), Track(2, 17, "S_TEXT/ASCII", 1_000_000)]
     blocks: list[tuple[int, int, Sequence[bytes], str, bool]] = []
     for i, line in enumerate(text.split("\n")):
         blocks.append((1, 1000 * i, [line.encode("utf-8")], "none", True))
-        frames = _sentences(line)
-        if frames:
+        sentences = [s.encode("utf-8") for s in line.split(". ") if s]
+        for at in range(0, len(sentences), 256):
+            frames = sentences[at : at + 256]
             lacing = "fixed" if len({len(f) for f in frames}) == 1 else ("xiph" if i % 2 else "ebml")
             blocks.append((2, 1000 * i, frames, lacing, i % 3 == 0))
     return write_media(tracks, blocks, live=len(text) % 2 == 1)
@@ -386,10 +394,15 @@ def _film(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def films(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, media): every text as a Matroska file, null for a null text."""
+    """Rows (doc_id, media): every text as a Matroska file.
+
+    Defined cases: null for a null text; an empty text is one empty line; a null
+    id is kept; repeated rows are each muxed; an empty table gives no rows; other
+    columns are not looked at.
+    """
     return doc_columns(docs).mapInArrow(_film, "doc_id long, media binary")
 
 
 def document_packets(docs: DataFrame) -> DataFrame:
-    """Packets of every document's film."""
+    """Packets of every document's film; see :func:`films` and :func:`packets` for their cases (a null text has none)."""
     return packets(films(docs))

@@ -7,7 +7,9 @@ size open, so later pieces find exact fits and little is wasted.
 
 Scale: only ids and lengths are shuffled.  The rule is sequential, so documents
 are dealt by hash to shards of about ``shard_words`` words each, whose number
-grows with the input; each shard packs its own bins.
+grows with the input, and of ``SHARD_ROWS`` documents at most on average; each
+shard packs its own bins.  Documents that repeat both id and length are counted
+before the shuffle and dealt one by one, so an id that is everywhere is spread.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from docwarden.llm.base import cut, doc_columns
 
 CAPACITY = 2048
 SHARD_WORDS = 1 << 25
+SHARD_ROWS = 1 << 19
 
 
 class SumOfSquares:
@@ -68,15 +71,17 @@ class SumOfSquares:
 def _packer(capacity: int):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
-        rows = rows.sort_values(["turn", "doc_id"], kind="stable")
+        order = np.lexsort((rows["n_words"].to_numpy(), rows["doc_id"].to_numpy(), rows["turn"].to_numpy()))
+        ids, words = rows["doc_id"].to_numpy()[order], rows["n_words"].to_numpy()[order]
+        pieces = -(-words // capacity)
+        total = int(pieces.sum())
+        start = (np.arange(total) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+        size = np.minimum(capacity, np.repeat(words, pieces) - start)
+        bins, offset = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64)
         state = SumOfSquares(capacity)
-        out: list[tuple[int, int, int, int, int]] = []
-        for doc, words in zip(rows["doc_id"].tolist(), rows["n_words"].tolist()):
-            for start in range(0, words, capacity):
-                size = min(capacity, words - start)
-                number, offset = state.place(size)
-                out.append((shard << 40 | number, offset, doc, start, size))
-        return pd.DataFrame(out, columns=["bin_id", "bin_offset", "doc_id", "start_word", "n_words"]).astype("int64")
+        for i in range(total):
+            bins[i], offset[i] = state.place(int(size[i]))
+        return pd.DataFrame({"bin_id": shard << 40 | bins, "bin_offset": offset, "doc_id": np.repeat(ids, pieces), "start_word": start, "n_words": size})
 
     return pack
 
@@ -85,25 +90,29 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0B]+"))
 
 
-def pack_lengths(lengths: DataFrame, *, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
+def pack_lengths(lengths: DataFrame, *, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Packs a table (doc_id long, n_words long); see :func:`pack_documents`."""
-    lengths = cut(lengths.filter("doc_id is not null and n_words > 0"))
-    total = lengths.agg(F.sum("n_words")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    dealt = lengths.withColumn("turn", F.xxhash64("doc_id")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards)))
+    counted = cut(lengths.filter("doc_id is not null and n_words > 0").groupBy("doc_id", "n_words").agg(F.count("*").alias("rows")))
+    words, rows = counted.agg(F.sum(F.col("n_words") * F.col("rows")), F.sum("rows")).first()
+    shards = max(1, -(-(words or 0) // shard_words), -(-(rows or 0) // shard_rows))
+    each = counted.select("doc_id", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"))
+    dealt = each.withColumn("turn", F.xxhash64("doc_id", "n_words", "copy")).withColumn("shard", F.pmod(F.col("turn"), F.lit(shards))).drop("copy")
     return dealt.groupBy("shard").applyInPandas(_packer(capacity), "bin_id long, bin_offset long, doc_id long, start_word long, n_words long")
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (bin_id, bin_offset, doc_id, start_word, n_words): which words of each document go where in which bin.
 
     Lengths count words (runs of anything but ASCII white space); to pack by
     other units give their counts to :func:`pack_lengths`.  A document of more
     than ``capacity`` words is cut into full bins and a rest; every word of
     every document is in exactly one bin.  Documents come in the order of a hash
-    of their id.  Defined cases: null ids, null texts and texts without a word
-    have no rows; rows that repeat an id are packed one by one, as often as they
-    occur; an empty table gives no rows; other columns are not looked at.
+    of their id and length, each within its shard; the number of shards follows
+    from all words and documents (``shard_words``, ``shard_rows``), so a
+    document's bin depends on what else is packed.  Defined cases: null ids, null
+    texts and texts without a word have no rows; rows that repeat an id are packed
+    one by one, as often as they occur; an empty table gives no rows; other
+    columns are not looked at.
     """
     known = doc_columns(docs).select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"))
-    return pack_lengths(known, capacity=capacity, shard_words=shard_words)
+    return pack_lengths(known, capacity=capacity, shard_words=shard_words, shard_rows=shard_rows)

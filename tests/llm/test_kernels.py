@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -117,6 +118,35 @@ def test_media_round_trip(lacing, live):
     assert list(matroska._packet_rows(7, b"no media")) == []
 
 
+def test_media_assembled_by_hand():
+    """Bytes as the format's specification gives them, none made by the module's own writer."""
+    void = bytes.fromhex("ec83000000")
+    crc = bytes.fromhex("bf8401020304")
+    head = bytes.fromhex("1a45dfa3 8b 4282 88 6d6174726f736b61")
+    info = bytes.fromhex("1549a966 4007 2ad7b1 83 0f4240")
+    track = bytes.fromhex("ae 8b d7 81 01 83 81 11 86 83 565f58")
+    tracks = bytes.fromhex("1654ae6b") + bytes([0x80 | len(track)]) + track
+    # group: a key frame of 20 ms, and one that refers to it (-20) with three frames in Xiph lacing (2, 1 and the rest)
+    first = bytes.fromhex("a0 8b a1 86 81 0014 00 aabb 9b 81 14")
+    second = bytes.fromhex("a0 91 a1 8c 81 0028 02 02 02 01 1111 22 3333 fb 81 ec")
+    body = crc + bytes.fromhex("e7 81 64") + void + first + second
+    cluster = bytes.fromhex("1f43b675") + b"\x40" + bytes([len(body)]) + body
+    content = info + void + tracks + cluster
+    data = head + bytes.fromhex("18538067") + b"\x10\x00\x00" + bytes([len(content)]) + content
+    rows = list(matroska._packet_rows(1, data))
+    assert [data[r[5] : r[5] + r[6]].hex() for r in rows] == ["aabb", "1111", "22", "3333"]
+    assert [(r[2], r[3], r[4], r[7], r[8], r[9]) for r in rows] == [(1, "V_X", 120_000_000, "none", 0, True), (1, "V_X", 140_000_000, "xiph", 0, False), (1, "V_X", None, "xiph", 1, False), (1, "V_X", None, "xiph", 2, False)]
+    assert all(r[-1] for r in rows)
+
+
+def test_live_streams_end_to_end():
+    one = matroska.write_media([_track(1)], [(1, 0, [b"first"], "none", True), (1, 9000, [b"second"], "none", True)], live=True)
+    other = matroska.write_media([_track(1)], [(1, 0, [b"third"], "none", True)], live=True)
+    data = one + other + one
+    rows = list(matroska._packet_rows(1, data))
+    assert [data[r[5] : r[5] + r[6]] for r in rows] == [b"first", b"second", b"third", b"first", b"second"] and all(r[-1] for r in rows)
+
+
 def _track(number: int) -> matroska.Track:
     import dataclasses
 
@@ -142,12 +172,12 @@ def test_battery_tells_random_from_regular():
     "clause,toxic",
     [
         ("you are an idiot", True),
-        ("what an idiot", True),
+        ("what an idiot", False),
         ("you are not an idiot", False),
         ("never stupid", False),
         ("she said idiot", False),
         ("i will kill you", True),
-        ("they kill time", True),
+        ("they kill time", False),
         ("to kill the process", False),
         ("i will not kill you", False),
         ("the weather is fine", False),
@@ -155,10 +185,9 @@ def test_battery_tells_random_from_regular():
     ],
 )
 def test_grammar(clause, toxic):
-    assert (toxicity.Lexicon().clause_score(clause) >= toxicity.THRESHOLD) == toxic
+    assert (toxicity.Lexicon().clause_score(clause)[0] >= toxicity.THRESHOLD) == toxic
 
 
 def test_clauses_don_t_leak():
-    lexicon = toxicity.Lexicon()
-    assert lexicon.matches("He is not. An idiot!\nnothing") == [(1.0, "an idiot")]
-    assert lexicon.matches("") == []
+    found = list(toxicity.Lexicon().matches(pa.array(["He is not. An idiot!\nnothing", "", None, "scum"])))
+    assert found == [(0, 0.5, 0.5, "an idiot", 6), (3, 0.5, 0.5, "scum", 1)]

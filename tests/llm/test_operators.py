@@ -13,12 +13,25 @@ from conftest import SF_DIR, same_rows
 
 from docwarden.llm import bpe, importance, inner_products, matroska, packing, queries, repeats, secrets, simhash, toxicity, warc
 
-ROW = "doc_id long, text string, lang string, source string, n_chars long, bucket string, rep string, `n` int, token_ids string"
+#: names that operators use themselves
+CLASHING = ["bucket", "rep", "n", "token_ids", "cuts", "__id", "__rank", "__marked", "__lost_id", "row", "version", "apart", "free", "place", "node", "a.b", "kept", "start_word", "media"]
+ROW = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+STAGES = ["drop_toxic", "drop_near_duplicates", "cut_repeats", "redact_secrets"]
 
 
 def table(spark, rows):
     """Documents of (doc_id, text) with columns whose names operators use themselves."""
-    return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "x", "y", 1, "z") for i, t in rows], ROW)
+    return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), *(f"{c} of {i}" for c in CLASHING)) for i, t in rows], ROW)
+
+
+def staged(name, docs, labels):
+    """Rows that a row-keeping stage gives."""
+    return {
+        "drop_toxic": lambda: toxicity.drop_toxic(docs, labels),
+        "drop_near_duplicates": lambda: simhash.drop_near_duplicates(docs),
+        "cut_repeats": lambda: repeats.cut_repeats(docs),
+        "redact_secrets": lambda: secrets.redact_secrets(docs),
+    }[name]()
 
 
 def words(n: int, seed: int, size: int = 5) -> str:
@@ -50,6 +63,38 @@ def no_labels(spark):
     return spark.createDataFrame([], "doc_id long, quality int, toxic int")
 
 
+# stages that keep rows
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_every_column(spark, odd, empty, no_labels, name):
+    out = staged(name, odd, no_labels)
+    assert out.schema.names == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+    rows = out.collect()
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    assert staged(name, empty, no_labels).columns == odd.columns and staged(name, empty, no_labels).count() == 0
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_judge_unlike_texts_of_one_id_apart(spark, no_labels, name):
+    p, q, key = words(60, 1), words(60, 2), "".join(random.Random(3).choices("0123456789abcdef", k=40))
+    given = [(1, p), (2, "z " + p), (2, "a " + q), (2, f"key {key} for {q[:50]}"), (2, "you are an idiot. " + words(70, 9)), (2, None), (2, "a " + q), (None, q), (None, None)] + [(2, words(80, 20 + i)) for i in range(5)]
+    found = Counter((r["doc_id"], r["text"]) for r in staged(name, table(spark, given), no_labels).collect())
+    expected = Counter(given)
+    if name == "drop_toxic":
+        expected -= Counter([given[4]])
+    elif name == "drop_near_duplicates":
+        expected -= Counter([(2, "z " + p), (2, "a " + q)])
+    elif name == "cut_repeats":
+        expected += Counter([(2, "z ")])
+        expected -= Counter([(2, "z " + p)])
+    else:
+        expected += Counter([(2, given[3][1].replace(key, secrets.MASK))])
+        expected -= Counter([given[3]])
+    assert found == expected
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     assert same_rows(queries.QUERIES[name](spark, SF_DIR), duck, queries.ORACLE_SQL[name])
@@ -89,6 +134,14 @@ def test_packing_covers_every_word_of_all_shards(spark):
     assert used > 0.95
 
 
+def test_packing_bounds_shards_by_rows_and_spreads_a_hot_id(spark):
+    lengths = spark.range(40_000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "1L as n_words")
+    rows = packing.pack_lengths(lengths, shard_rows=5000).collect()
+    shards = Counter(r["bin_id"] >> 40 for r in rows)
+    assert len(rows) == 40_000 and len(shards) == 8 and max(shards.values()) < 6000
+    assert Counter(r["doc_id"] for r in rows)[7] == 13_335
+
+
 # media
 
 
@@ -117,6 +170,13 @@ def test_media_that_are_none(spark):
     assert {r["doc_id"] for r in matroska.packets(files).collect()} == {None}
 
 
+def test_lines_of_very_many_sentences(spark):
+    text = ". ".join(f"s{i}" for i in range(1000))
+    rows = matroska.document_packets(table(spark, [(1, text)])).collect()
+    assert len(rows) == 1001 and all(r["is_sound"] for r in rows)
+    assert max(r["lace_index"] for r in rows) == 255 and len({r["byte_offset"] for r in rows if r["track"] == 2}) == 1000
+
+
 # byte-level BPE
 
 
@@ -157,6 +217,20 @@ def test_warc(spark):
     assert warc.distinct_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_ranges_that_hold_no_record(spark, tmp_path):
+    import gzip
+
+    record = warc.record_bytes(7, " http://a/\u2028b ", "<p>")
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"no record") + record)
+    index = warc.index_warc(spark, str(tmp_path)).collect()
+    assert [(r["url"], r["record_id"]) for r in index] == [("http://a/\u2028b", "<urn:page:7>")]
+    file, offset, length = index[0]["file"], index[0]["offset"], index[0]["length"]
+    asked = spark.createDataFrame([(file, offset, length), (file, offset, length), (file, 0, offset), (file, offset, length - 4), (None, 0, 1), (file, None, 1)], "file string, offset long, length long")
+    rows = warc.read_records(asked).collect()
+    assert [bytes(r["body"]) for r in rows] == [b"<p>"] * 2 and all(r["sound"] for r in rows)
+    assert warc.read_records(asked.limit(0)).count() == 0
+
+
 # top-k
 
 
@@ -180,6 +254,24 @@ def test_top_k_equals_brute_force(spark):
         assert [s for _, s in found[i]] == pytest.approx([s for _, s in expected[i]], abs=2e-6)
     assert sum(a == b for i in expected for (a, _), (b, _) in zip(found[i], expected[i])) >= 2990
     assert inner_products.top_inner_products(vectors.limit(0)).count() == 0
+    some = defaultdict(list)
+    for r in inner_products.top_inner_products(vectors, every=20, block_rows=16).orderBy("query_id", "rank").collect():
+        some[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(some) == set(range(0, 300, 20)) and all(some[i] == found[i] for i in some)
+
+
+def test_blocks_are_skipped_and_nothing_is_lost(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 12)) * 0.1 + rng.normal(size=(20, 12))[rng.integers(0, 20, 4000)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    folder = f"file://{tmp_path}"
+    one = vectors.selectExpr("vec_id as id", "embedding as v").mapInArrow(inner_products._rotater(np.eye(12)), "id long, length double, y binary").orderBy("length", ascending=False)
+    one.mapInArrow(inner_products._blocker(f"{folder}/blocks", 64), inner_products._PLACES).write.parquet(f"{folder}/places")
+    best, seen = inner_products.search(inner_products.Blocks(folder), np.arange(5), x[:5], 3, 4)
+    score = x[:5] @ x.T
+    score[np.arange(5), np.arange(5)] = -np.inf
+    assert np.allclose(best.score, np.sort(score, axis=1)[:, :-4:-1], atol=2e-6)
+    assert seen["pairs"] == 20_000 and seen["partial"] < 0.5 * seen["pairs"] and seen["whole"] < seen["partial"]
 
 
 # secrets
@@ -240,6 +332,64 @@ def test_secrets_joined_to_other_text(spark):
     assert sum(key in clean[1000 + i] for i, (_, _, key, _) in enumerate(made)) <= len(missed)
 
 
+ORDINARY = "FREQUENTLYASKEDQUESTIONS TERMSANDCONDITIONSAPPLY INTERNATIONALBUSINESS CUSTOMERSERVICECENTER PROFESSIONALDEVELOPMENT ENVIRONMENTALPROTECTION getElementsByClassName XMLHttpRequestEventTarget AbstractSingletonProxyFactoryBean 6126142746547109 https://www.example.com/some/very/long/path/to/a/page.html".split()
+
+
+def test_ordinary_words_are_no_secrets(spark):
+    rng = random.Random(7)
+    prose = [(i, words(300, i, 4)) for i in range(1500)]
+    docs = table(spark, prose + [(5000 + i, f"see {w} there, or {w.lower()}") for i, w in enumerate(ORDINARY)] + [(9000, "".join(rng.choices("0123456789abcdef", k=40)))])
+    assert {r["doc_id"] for r in secrets.find_secrets(docs).collect()} == {9000}
+
+
+def plain_log_e(token: str, counts: Counter) -> float:
+    """Log e-value of a whole run of one encoding, character by character."""
+    fold = "abcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    encoding = next(e for e, symbols in secrets.ENCODINGS.items() if set(token) <= set(symbols))
+    single = np.array([sum(n for (_, b), n in counts.items() if b == c) + 1.0 for c in fold])
+    single /= single.sum()
+
+    def log_pair(a, b):
+        row = np.array([counts[a, c] for c in fold]) + 10 * single
+        return np.log(row[fold.index(b)] / row.sum())
+
+    chain = list(zip([None, *token.lower()], token.lower()))
+    own = sum(log_pair(a, b) for a, b in chain)
+    code = lambda c: 40 if c is None else fold.index(c)
+    common = sum(secrets._COMMON_PAIR[code(a), code(b)] for a, b in chain)
+    cases = [c.isupper() for c in token if c.isalpha()]
+    changed = [a != b for a, b in zip(cases, cases[1:])]
+    case = np.log(np.mean([np.prod([p if c else 1 - p for c in changed]) for p in secrets.CASE_CHANGES]) / 2) if cases else 0.0
+    return -len(token) * np.log(len(secrets.ENCODINGS[encoding])) - (np.logaddexp(own, common) - np.log(2)) - case - np.log(len(secrets.ENCODINGS))
+
+
+def test_e_values_and_level_equal_plain_loops(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=24)) for _ in range(5)] + ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(5)]
+    rows = [(i, words(50, i, 6) + " Capital WORDS in 2024") for i in range(50)] + [(100 + i, "key " + k) for i, k in enumerate(keys)]
+    counts: Counter = Counter()
+    for _, t in rows:
+        for token in t.split():
+            if len(token) < secrets.MIN_LENGTH:
+                counts.update(zip([None, *token.lower()], token.lower()))
+    found = {r["token"]: r for r in secrets.find_secrets(table(spark, rows)).collect()}
+    assert set(found) == set(keys)
+    for k in keys:
+        assert found[k]["log10_e"] == pytest.approx(plain_log_e(k, counts) / np.log(10), abs=1e-6)
+        assert found[k]["p_random"] == secrets.battery(k, found[k]["encoding"])[3] >= secrets.LEAST_RANDOM
+
+
+def test_discoveries_are_those_of_the_rule():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        tokens = int(rng.integers(10, 500))
+        places = np.floor(rng.exponential(30, size=int(rng.integers(0, tokens)))).astype(int)
+        e = np.sort(np.exp(places / 8))[::-1]
+        k = max((i + 1 for i in range(len(e)) if e[i] >= tokens / (0.01 * (i + 1)) * (1 - 1e-12)), default=0)
+        level = secrets.level_of(Counter(places.tolist()), tokens, 0.01)
+        assert sum(p / 8 >= level for p in places) == k
+
+
 # SimHash
 
 
@@ -266,8 +416,8 @@ def test_near_edges_equal_all_pairs_within_the_radius(spark):
     for g in range(40):
         base = words(120, 100 + g).split()
         rows += [(g * 100 + c, " ".join(base[: 120 - c * 2] + ["w%d" % c])) for c in range(12)]
-    sigs = simhash.signatures(table(spark, rows)).cache()
-    plain = {r["doc_id"]: [r[f"s{i}"] & (2**64 - 1) for i in range(4)] for r in sigs.collect()}
+    sigs = simhash.signatures(table(spark, rows)).withColumnRenamed("doc_id", "node").cache()
+    plain = {r["node"]: [r[f"s{i}"] & (2**64 - 1) for i in range(4)] for r in sigs.collect()}
     near = {(a, b) for a in plain for b in plain if a < b and sum((x ^ y).bit_count() for x, y in zip(plain[a], plain[b])) <= simhash.RADIUS}
 
     def roots(edges):
@@ -291,7 +441,7 @@ def test_near_edges_equal_all_pairs_within_the_radius(spark):
         assert all(expected[d] == expected[found[d]] for d in plain)
 
 
-@pytest.mark.parametrize("distance", [36, simhash.RADIUS])
+@pytest.mark.parametrize("distance", [20, 36, simhash.RADIUS])
 def test_groups_of_two_near_the_radius_meet(spark, distance):
     rng = random.Random(distance)
     rows = []
@@ -300,10 +450,18 @@ def test_groups_of_two_near_the_radius_meet(spark, distance):
         for c, bits in enumerate((base, base ^ sum(1 << b for b in rng.sample(range(256), distance)))):
             words = [bits >> 64 * w & (2**64 - 1) for w in range(4)]
             rows.append((2 * g + c, *(w - 2**64 if w >> 63 else w for w in words)))
-    sigs = spark.createDataFrame(rows, "doc_id long, s0 long, s1 long, s2 long, s3 long")
+    sigs = spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long")
     met = {tuple(sorted((r["a"], r["b"]))) for r in simhash.near_edges(sigs).collect()}
     assert met <= {(2 * g, 2 * g + 1) for g in range(1000)}
-    assert len(met) >= 930, len(met)
+    # a thousand pairs at the chance promised are ten less at times
+    assert len(met) >= 1000 * simhash.RECALL - 12, len(met)
+
+
+def test_bands_follow_the_number_of_signatures():
+    for rows in (0, 1, 10**6, 10**9, 10**11):
+        bands, bits = simhash.bands_for(rows)
+        meet = (1 - simhash.RADIUS / 256) ** bits
+        assert bits >= 16 and rows / 2**bits <= simhash.BUCKET_ROWS and 1 - (1 - meet) ** bands >= simhash.RECALL
 
 
 def test_near_duplicates_of_odd_documents(spark, odd, empty):
@@ -329,6 +487,39 @@ def test_importance_sample(spark, odd, empty, labels, no_labels):
     assert importance.importance_sample(empty, labels).count() == 0
 
 
+def test_log_weights_equal_plain_counts(spark):
+    rows = [(i, f"{words(3 + i % 9, i % 7, 2)} ... {words(4, i % 5, 3)}!") for i in range(60)] + [(60, "")]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int")
+
+    def buckets(text):
+        from docwarden.llm.textkernels import _BYTE_CODES, _MULT, mix
+
+        import re
+
+        code = lambda raw: int(mix(np.array([sum(int(_BYTE_CODES[b]) * pow(_MULT, i, 1 << 64) for i, b in enumerate(raw)) % (1 << 64)], dtype=np.uint64))[0])
+        hashes = [code(w.encode()) for w in re.findall(r"[^\W_]+|[^\w\s]+", text)]
+        pairs = [int(mix(np.array([(a * _MULT + b) % (1 << 64)], dtype=np.uint64))[0]) for a, b in zip(hashes, hashes[1:])]
+        return [h % importance.BUCKETS for h in hashes + pairs]
+
+    good, raw = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i < 40 and i % 4 == 0:
+            good.update(buckets(t))
+    share = lambda counts, b: (counts[b] + 1) / (sum(counts.values()) + importance.BUCKETS)
+    expected = {i: sum(np.log(share(good, b) / share(raw, b)) for b in buckets(t)) for i, t in rows}
+    found = {r["doc_id"]: r["log_weight"] for r in importance.importance_sample(table(spark, rows), known, fraction=1.0).collect()}
+    assert found == pytest.approx(expected, abs=1e-5)
+
+
+def test_importance_ties_go_to_the_least_id_and_repeated_rows_are_drawn_apart(spark):
+    scores = spark.createDataFrame([(i, 1.0) for i in range(50)], "doc_id long, gumbel_key double")
+    assert sorted(r["doc_id"] for r in importance.greatest(scores, 7).collect()) == list(range(7))
+    twice = table(spark, [(1, "a b"), (1, "a b"), (2, "c d"), (3, None)])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(r["doc_id"] for r in importance.importance_sample(twice, labels).collect()) == [1, 1, 2]
+
+
 def test_greatest_is_exact(spark, monkeypatch):
     monkeypatch.setattr(importance, "_EXACT_BELOW", 20)
     rng = np.random.default_rng(3)
@@ -356,8 +547,11 @@ def brute_passages(rows, n):
     return kept, gone - kept
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_passages_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(0, 4096), (1, 4096), (2, 4096), (3, 4096), (0, 0), (1, 0)])
+def test_passages_equal_brute_force(spark, monkeypatch, seed, crowd):
+    # with crowds of none, every anchor that is sampled twice is taken apart
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "CROWD_SHARE", 0.0 if not crowd else repeats.CROWD_SHARE)
     rng = random.Random(seed)
     shared = [words(rng.randint(8, 40), 70 + i, 2).split() for i in range(6)]
     rows = []
@@ -373,6 +567,19 @@ def test_passages_equal_brute_force(spark, seed):
     assert (found_kept, found_cut) == brute_passages(rows, 10)
 
 
+def test_an_anchor_of_very_many_contexts(spark):
+    shared, other = words(40, 5, 3), words(55, 6, 3)
+    rows = [(i, f"{words(12, i, 9)} {shared if i % 3 else other} {words(12, 10**6 + i, 9)}") for i in range(100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    known, _ = repeats._distinct(docs)
+    assert repeats.crowded_anchors(known, 50, 25)
+    found = repeats.repeated_passages(docs).collect()
+    # 40 shared words are no passage; of 55 the first document keeps its own
+    cut_ids = {r["doc_id"] for r in found if r["is_cut"]}
+    assert cut_ids == {i for i in range(3, 100_000, 3)} and {r["doc_id"] for r in found if not r["is_cut"]} == {0}
+    assert {(r["start_word"], r["end_word"]) for r in found} == {(12, 67)}
+
+
 def test_cut_repeats(spark, odd, empty):
     passage = words(70, 5)
     rows = [(1, "first " + passage + " end"), (2, "second  " + passage + " tail"), (3, "clean one"), (4, LONG), (5, LONG)]
@@ -387,15 +594,91 @@ def test_cut_repeats(spark, odd, empty):
 
 
 def test_toxicity(spark, odd, empty, labels, no_labels):
-    rows = [(1, "You are an idiot."), (2, "You are not an idiot."), (3, "Fine day."), (None, "what a moron"), (4, None), (5, ""), (3, "Fine day."), (6, LONG + ". you idiot")]
-    found = {r["doc_id"]: r["score"] for r in toxicity.toxic_documents(table(spark, rows), no_labels).collect()}
-    assert found == {1: 1.0, None: 1.0, 6: 1.5}
+    rows = [(1, "You are an idiot."), (2, "You are not an idiot."), (3, "Fine day."), (None, "du bist ein Trottel"), (4, None), (5, ""), (3, "Fine day."), (6, LONG + ". you idiot"), (7, "¡Eres un IMBÉCIL!"), (1, "You are an idiot.")]
+    found = Counter((r["doc_id"], r["score"]) for r in toxicity.toxic_documents(table(spark, rows), no_labels).collect())
+    assert found == Counter({(1, 1.5): 2, (None, 1.5): 1, (6, 1.5): 1, (7, 1.5): 1})
     kept = Counter((r["doc_id"], r["text"]) for r in toxicity.drop_toxic(table(spark, rows), no_labels).collect())
-    assert kept == Counter(rows) - Counter([rows[0], rows[3], rows[7]])
+    assert kept == Counter(r for r in rows if r[0] in (2, 3, 4, 5))
     assert Counter((r["doc_id"], r["text"]) for r in toxicity.drop_toxic(odd, labels).collect()) == Counter(ODD)
     assert toxicity.toxic_documents(empty, labels).count() == 0 and toxicity.drop_toxic(empty, labels).count() == 0
 
 
+CLEAN = ["the stupid door is broken", "take out the trash", "i will beat you at chess", "these prices will kill the competition and hurt them", "he is taking the trash out", "he said you are an idiot", "you are not such an idiot", "i will not kill you", "dad will kill me", "they threw their trash away"]
+TOXIC = ["you idiot", "They are all disgusting morons!", "I will kill you", "I'll come to your house and kill you", "kill yourself", "I will beat you up", "idiots like you", "I said you are a clown", "tu es un abruti", "kill that idiot. nothing but scum here. what a worthless loser"]
+
+
+@pytest.mark.parametrize("text", CLEAN + TOXIC)
+def test_clauses_decide_and_words_don_t(text):
+    import pyarrow as pa
+
+    assert bool(list(toxicity.Lexicon().verdicts(pa.array([text]), toxicity.THRESHOLD))) == (text in TOXIC)
+
+
+def plain_verdict(text: str, stems: dict[str, float]) -> tuple[float, float, int] | None:
+    """Score, total and clauses of a text, by plain loops over sentences, words and the five machines one after the other."""
+    import re
+
+    machines = toxicity_machines()
+    scores = []
+    for sentence in re.split(r"[.!?;\n\r]", text.lower()):
+        states, aimed, bare = [m.start for m in machines], 0.0, 0.0
+        for word in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", sentence):
+            kind, factor = toxicity._CLASS_OF.get(word), 1.0
+            if kind is None:
+                stem = max((s for s in stems if word.startswith(s)), key=len, default=None)
+                kind, factor = ("INSULT", stems[stem]) if stem else ("OTHER", 1.0)
+            symbol, weight = kind, 0.0
+            for i, machine in enumerate(machines):
+                states[i], symbol, w = machine.step(states[i], symbol)
+                weight += w
+            if kind == "INSULT" and weight == toxicity.BARE:
+                bare += weight * factor
+            else:
+                aimed += weight * factor
+        hostile = any(toxicity._CLASS_OF.get(w) in toxicity._HOSTILE or w.startswith(tuple(stems)) for w in re.findall(r"[^\W\d_]+", sentence))
+        if aimed + bare and hostile:
+            scores.append((round(aimed + min(bare, toxicity.BARE), 6), round(aimed + bare, 6)))
+    n = len(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower()))
+    total = round(sum(t for _, t in scores), 6)
+    if scores and (max(s for s, _ in scores) >= 1 or total >= max(1, toxicity.DENSITY * n)):
+        return max(s for s, _ in scores), total, len(scores)
+    return None
+
+
+def toxicity_machines():
+    """The five machines as the grammar composes them."""
+    made = []
+    real = toxicity.compose
+    try:
+        toxicity.compose = lambda machines, symbols: made.append(machines) or real(machines, symbols)
+        toxicity.grammar()
+    finally:
+        toxicity.compose = real
+    return made[0]
+
+
+def test_verdicts_equal_plain_loops():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    stems = {"zor": 0.8, "zorgh": 1.0, "ñoñ": 0.7}
+    pool = [w for group in toxicity._WORDS.values() for w in group.split()] + ["zorghen", "zorro", "ñoñería", "house", "tree", "été", "killing", "it", "7"] * 6
+    texts = ["".join(rng.choice(pool).upper() + rng.choice([" ", " ", " ", ", ", ". ", "\n", "! ", " ¡", "'"]) for _ in range(rng.randint(0, 60))) for _ in range(600)] + ["", None, "you idiot"]
+    found = {row: (score, total, n) for row, score, total, n, _ in toxicity.Lexicon(stems).verdicts(pa.array(texts), 1.0)}
+    expected = {i: v for i, t in enumerate(texts) if t is not None and (v := plain_verdict(t, stems))}
+    assert found == expected and len(found) > 100
+
+
+def test_a_very_long_line_is_scored_in_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    began = time.perf_counter()
+    (row,) = toxicity.Lexicon().verdicts(pa.array(["the stupid door is broken and " * 270_000 + ". you idiot"]), 1.0)
+    assert row[1:4] == (1.5, 135_001.5, 2) and time.perf_counter() - began < 60
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(8)
     rows, marks = [], []
@@ -421,10 +704,11 @@ def test_rare_toxic_labels_are_learned_from(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    # no constant was chosen on these labels
+    docs, marks = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
     found = {r["doc_id"] for r in toxicity.toxic_documents(docs, marks.filter("doc_id % 2 = 0")).collect()}
     held = {r["doc_id"]: r["toxic"] for r in marks.filter("doc_id % 2 = 1").collect()}
     bad = [d for d in held if held[d] == 1]
     good = [d for d in held if held[d] == 0]
-    assert sum(d in found for d in bad) >= 0.85 * len(bad)
-    assert sum(d in found for d in good) <= 0.01 * len(good)
+    assert sum(d in found for d in bad) >= 0.95 * len(bad)
+    assert sum(d in found for d in good) <= 0.002 * len(good)
