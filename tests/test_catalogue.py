@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF_DIR, same_rows
 
-from docwarden.plans import catalogue
+from docwarden.plans import catalogue, sheets  # noqa: F401  (both register their queries)
 
 #: the small tables have no such rows
 MAY_BE_EMPTY = {"scan_documents"}
