@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docwarden import terms
 from docwarden.config import Config
 from docwarden.plans import across
-from docwarden.plans.catalogue import ORACLE_SQL, _finding, _lines, _rules, _sql_list, query, told
+from docwarden.plans.catalogue import _CARDS, _HITS, ORACLE_SQL, _finding, _lines, _rules, _sql_list, query, told
 from docwarden.plans.parse import parse
 from docwarden.plans.scan import scan, to_findings
 from docwarden.sources import tables
@@ -280,3 +280,56 @@ def remote_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # on these texts only the address rule finds anything, which this holds the others to
 ORACLE_SQL["scan_documents"] = ORACLE_SQL["ip_scan_documents"]
+
+
+def _terms_of() -> str:
+    """SQL values (kind, tier, place, term) of the bundled services and keywords."""
+    rows = [(kind, tier, i, term) for kind, lists in (("service", terms.SERVICES), ("word", terms.KEYWORDS)) for tier, of in lists.items() for i, term in enumerate(of)]
+    return "terms(kind, tier, place, term) as (values " + ", ".join(f"('{k}', '{t}', {i}, '{w}')" for k, t, i, w in rows) + ")"
+
+
+def _category(of: dict[str, str], column: str) -> str:
+    return f"case {column} " + " ".join(f"when '{term}' then '{category}'" for term, category in of.items()) + " end"
+
+
+_WEAK = ", ".join(f"'{w}'" for w in terms.WEAK_KEYWORDS)
+_SENSITIVE = (
+    f"with {_CARDS}, {_lines('cards')}, {_terms_of()}"
+    + rf""", hits as (
+  select f.path, f.skill, t.*, min(line) as line from fields f join terms t on contains(lower(f.value), t.term) and regexp_matches(lower(f.value), '\b' || t.term || '\b') group by all
+), firsts as (
+  select path, skill, {", ".join(f"arg_min(term, place) filter (kind = 'service' and tier = '{t}') as {t}_service, arg_min(line, place) filter (kind = 'service' and tier = '{t}') as {t}_line" for t in ("high", "medium", "low"))},
+    list(term order by place) filter (kind = 'word' and tier = 'high') as high_words, arg_min(line, place) filter (kind = 'word' and tier = 'high') as high_word_line,
+    list(term order by place) filter (kind = 'word' and tier = 'medium') as medium_words, list(term order by place) filter (kind = 'word' and tier = 'medium' and term not in ({_WEAK})) as strong_words,
+    arg_min(line, place) filter (kind = 'word' and tier = 'medium' and term not in ({_WEAK})) as strong_line from hits group by path, skill
+), tiers as (
+  select *, case when high_service is not null then 'high' when medium_service is not null then case when high_words is not null or strong_words is not null then 'medium' end when low_service is not null then 'low' end as tier,
+    case when high_words is not null then 'high' when strong_words is not null then 'medium' end as words_tier from firsts
+), chosen as (
+  select *, case tier when 'high' then high_service when 'medium' then medium_service when 'low' then low_service end as service, coalesce(case tier when 'high' then high_line when 'medium' then medium_line when 'low' then low_line end, high_word_line, strong_line) as at,
+    coalesce(tier, words_tier) as level from tiers
+), judged as (
+  select c.path, c.skill, c.at as line, f.snippet, least(100, case level when 'high' then 65 when 'medium' then 40 else 15 end + case when high_words is not null then 10 else 0 end) as score,
+    concat_ws(' ', case when service is not null then 'Skill text references service ''' || service || ''' (' || tier || '-sensitivity service).' else 'Skill text contains ' || level || '-sensitivity data keywords.' end,
+      'Category: ' || coalesce({_category(terms.SERVICE_CATEGORIES, "service")}, list_filter(list_transform(coalesce(high_words, medium_words), lambda w: {_category(terms.KEYWORD_CATEGORIES, "w")}), lambda x: x is not null)[1], 'sensitive-data') || ' (category_source=' || case when service is not null then 'service' else 'keyword' end || ').',
+      'signal_source=' || concat_ws('+', case when service is not null then 'service_text' end, case when high_words is not null then 'keyword_high' end, case when strong_words is not null then 'keyword_medium' end) || '.',
+      'High-sensitivity keywords: ' || array_to_string(high_words[1:5], ', ') || '.', 'Medium-sensitivity keywords: ' || array_to_string(medium_words[1:5], ', ') || '.') as description
+  from chosen c join fields f on f.path = c.path and f.line = c.at where level is not null
+)"""
+    + _finding("DATA_SENSITIVITY", "Data sensitivity classification", "select * from judged")
+)
+_KNOWN = _sql_list(list(terms.DEFAULT_ALLOWED_DOMAINS))
+_OPEN = f"not regexp_matches(host, '^[0-9.]+$') and not list_bool_or(list_transform({_KNOWN}, lambda d: host = d or ends_with(host, '.' || d)))"
+_URLS_OF_CARDS = f"with {_CARDS}, {_lines('cards')}{_HITS}"
+_CARD_PARTS = [
+    _SENSITIVE,
+    *(ORACLE_SQL[name] for name in ("secret_keys", "env_refs", "remote_references")),
+    _URLS_OF_CARDS + _finding("MCP_ENDPOINT", "MCP endpoint in docs", "select distinct path, skill, line, snippet, 70 as score, 'Documentation references MCP endpoint ''' || url || '''.' as description from hosts where regexp_matches(url, '/mcp(?:/|$)')"),
+    _URLS_OF_CARDS + _finding("NET_DOC_DOMAIN", "Non-allowlisted domain in docs", f"select distinct path, skill, line, snippet, 15 as score, 'Documentation references external domain ''' || host || '''.' as description from hosts where field_source = 'prose' and {_OPEN}"),
+    _URLS_OF_CARDS + _finding("NET_UNKNOWN_DOMAIN", "Non-allowlisted domain in config", f"select distinct path, skill, line, snippet, 35 as score, 'Configuration references external domain ''' || host || '''.' as description from hosts where field_source <> 'prose' and {_OPEN}"),
+    _URLS_OF_CARDS + _finding("NET_RAW_IP", "Raw IP endpoint in config", r"select path, skill, line, snippet, 82 as score, 'Configuration references a public raw IP address (' || host || '), bypassing domain controls.' as description from hosts where regexp_full_match(host, '203\.0\.114\.\d+')"),
+]
+ORACLE_SQL["scan_cards"] = (
+    "with found as (" + " union all ".join(f"select * from ({part})" for part in _CARD_PARTS) + ") select * from found c where not exists (select 1 from found m where m.path = c.path and m.line = c.line "
+    "and c.rule_id in ('NET_DOC_DOMAIN', 'NET_UNKNOWN_DOMAIN') and ((m.rule_id = 'MCP_ENDPOINT' and c.score <= m.score) or m.rule_id = 'REMOTE_REFERENCE_RISK'))"
+)
