@@ -1,4 +1,4 @@
-"""Command line: scan, validate-config, init.  Exit codes: 0 fine, 1 a threshold is reached, 2 wrong use, 130 cancelled."""
+"""Command line: scan, validate-config, init.  Exit codes: 0 fine, 1 a threshold is reached or the scan failed, 2 wrong use, 130 cancelled."""
 
 from __future__ import annotations
 
@@ -11,9 +11,12 @@ from dataclasses import replace
 from pathlib import Path
 
 import yaml
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from docwarden import __version__
 from docwarden import config as policy
 from docwarden import rulepack, sinks
 from docwarden.config import Config, ConfigError, Problem
@@ -42,7 +45,7 @@ scan | only-rules | | many, one of chosen |
 scan | max-file-mb | | number |
 scan | output-format | | text | some of json, csv, sarif, with commas
 scan | no-stdout | | flag |
-scan | no-color | | flag | reports have no colours; kept for scripts
+scan | no-color | | flag | no colours, as where the output is no terminal
 scan | verbose | v | flag |
 scan | group-by | | skill/rule |
 scan | fail-on | | high/medium/low |
@@ -61,6 +64,7 @@ _DEFAULTS = {"output-format": "json", "rules-mode": "replace", "duplicate-policy
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="docwarden", description="Static risk analysis of instruction documents, on Spark")
+    top.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     commands = top.add_subparsers(dest="command", required=True)
     said = {"scan": ("scan", "scan a workspace"), "check": ("validate-config", "check the policy and custom rules without a scan"), "init": ("init", "write a starter policy")}
     parsers = {short: commands.add_parser(name, help=text) for short, (name, text) in said.items()}
@@ -178,9 +182,11 @@ def run_scan(args: argparse.Namespace) -> int:
         ]
         if reasons:
             head.append(f"shown {reasons['shown']} of {reasons['total']}; below severity {reasons['below_severity']}, informational {reasons['informational']}")
+        if result.selection.disabled:
+            head.append("rules off: " + ", ".join(f"{rule} ({source})" for rule, source in sorted(result.selection.disabled.items())))
         if args.verbose:
             head.append(f"cache: {result.cache_hits} hits, {result.cache_misses} misses; rules: {len(result.selection.executed)} run, {len(result.selection.disabled)} off")
-        for line in sinks.text_report(shown, config, head=head, group_by=args.group_by, summary_only=args.summary_only):
+        for line in sinks.text_report(shown, config, head=head, group_by=args.group_by, summary_only=args.summary_only, colour=sys.stdout.isatty() and not args.no_color):
             print(line)
         for hint in score.dominant_domains(result.findings).orderBy("rule_id").collect():
             print(f"hint: {hint['domain']} is in {hint['n']} of {hint['total']} {hint['rule_id']} findings; consider {score.ALLOWED_BY[hint['rule_id']]}", file=sys.stderr)
@@ -246,6 +252,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     except ConfigError as error:
         print(error, file=sys.stderr)
         return 2
+    except (OSError, PySparkException, Py4JError) as error:
+        print(f"scan failed: {str(error).splitlines()[0] if str(error) else type(error).__name__}", file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

@@ -22,6 +22,9 @@ from docwarden.rulepack import REMOTE_RULES, Rule, Selection, fingerprint, selec
 from docwarden.session import cut
 from docwarden.sources import files
 
+#: warnings of a kind that are shown one by one; all are counted
+MOST_WARNINGS = 1000
+
 
 @dataclass
 class ScanResult:
@@ -93,6 +96,14 @@ def _as_struct(columns: str) -> str:
     return ",".join(":".join(part.split(" ", 1)) for part in columns.split(", "))
 
 
+def _told(rows: DataFrame, what: str) -> list[str]:
+    """Warnings of a table with a column ``text``: the first ones, and how many more there are."""
+    first = [r["text"] for r in rows.limit(MOST_WARNINGS + 1).collect()]
+    if len(first) <= MOST_WARNINGS:
+        return first
+    return [*first[:MOST_WARNINGS], f"{rows.count() - MOST_WARNINGS} more {what}"]
+
+
 def scan_workspace(
     spark: SparkSession, root: str | Path, rules: Sequence[Rule], config: Config | None = None, *,
     disable: Sequence[str] = (), only: Sequence[str] = (), cache: str | None = None,
@@ -106,10 +117,9 @@ def scan_workspace(
     chosen = [r for r in rules if r.public_id in selection.executed]
     documents = cut(parsed_documents(files.documents(spark, root, globs=config.skill_globs, max_file_mb=config.max_file_mb)))
     warnings = list(selection.warnings)
-    for row in documents.filter("parse_error is not null").select("path", "parse_error").orderBy("path").collect():
-        warnings.append(f"{row['path']}: {row['parse_error']}")
-    for row in documents.filter("name_collides").groupBy(F.regexp_replace("skill", "-[0-9a-f]{8}$", "").alias("name")).count().orderBy("name").collect():
-        warnings.append(f"{row['count']} documents are named {row['name']}; a digest of the path tells them apart")
+    warnings += _told(documents.filter("parse_error is not null").select("path", F.concat("path", F.lit(": "), "parse_error").alias("text")).orderBy("path"), "documents that can't be read")
+    shared = documents.filter("name_collides").groupBy(F.regexp_replace("skill", "-[0-9a-f]{8}$", "").alias("name")).count()
+    warnings += _told(shared.select("name", F.concat(F.col("count").cast("string"), F.lit(" documents are named "), "name", F.lit("; a digest of the path tells them apart")).alias("text")).orderBy("name"), "shared names")
     readable = documents.filter("parse_error is null")
     server_files = files.server_files(spark, root)
     nearest = across.nearest_above(readable, server_files).join(server_files.select(F.col("path").alias("above"), F.sha2("text", 256).alias("server_digest")), "above").select("path", "server_digest")
@@ -136,8 +146,7 @@ def scan_workspace(
         found.append(hits)
     if set(REMOTE_RULES) & set(selection.executed):
         servers = cut(across.servers_of(keyed, server_files))
-        for row in servers.filter("error is not null").select("file", "error").distinct().orderBy("file").collect():
-            warnings.append(f"{row['file']}: {row['error']}")
+        warnings += _told(servers.filter("error is not null").select("file", F.concat("file", F.lit(": "), "error").alias("text")).distinct().orderBy("file"), "server files that can't be read")
         found.append(across.remote_servers(servers, config, selection.executed))
     candidates = found[0]
     for more in found[1:]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docwarden import terms
 from docwarden.config import Config
 from docwarden.functions import net
-from docwarden.functions.text import any_of, entropy, first_of, let, preview, strings, words_in
+from docwarden.functions.text import any_of, first_of, let, preview, strings, words_in
 from docwarden.model import SIGNAL
 from docwarden.rulepack import Rule
 
@@ -16,6 +16,7 @@ NONE = "array<" + SIGNAL + ">"
 _ENV_REF = r"(?i)(?:os\.getenv\(|\{\{\s*secrets\.[^}]+\}\}|\$\{[A-Z0-9_]+\}|\$[A-Z_][A-Z0-9_]*)"
 _PLACEHOLDER = r"(?i)(?:<\s*placeholder\s*>|\b(?:changeme|todo|xxx+)\b|\b(?:replace|your)[-_])"
 _TOOL_TOKEN = r"\b[A-Z][A-Z0-9_]{3,}\b"
+_MAY_BE_ADDRESS = r"\d\.\d|\[[0-9A-Fa-f:]+\]"
 _SERVICE_TOKEN = r"[A-Z][A-Z0-9]+(?:_[A-Z0-9]+){2,}"
 
 
@@ -79,14 +80,28 @@ def url_domain_filter(rule: Rule, config: Config) -> Column:
         text = F.when(bad, F.concat(F.lit(f"{place} references '"), hit["host"], F.lit("', which is denylisted."))).otherwise(F.concat(F.lit(f"{place} references external domain '"), hit["host"], F.lit("'.")))
         return signal(F.when(bad, 80).otherwise(plain[0]), F.when(bad, "high").otherwise(plain[1]), text, f["line"], f["snippet"])
 
+    mapped = match.get("score_map") or {}
+
+    def scored(s: Column) -> Column:
+        """The signal with the score of the last entry of the map that the check's result names."""
+        score = s["score"]
+        for name, value in mapped.items():
+            if check in ("is_denylisted", "not_mcp_allowlisted"):
+                score = F.lit(int(value)) if name in "True" else score
+            else:
+                result = F.concat(F.lit("{'score': "), s["score"].cast("string"), F.lit(", 'description': '"), s["description"], F.lit("', 'confidence': '"), s["confidence"], F.lit("'}"))
+                score = F.when(F.contains(result, F.lit(name)), int(value)).otherwise(score)
+        return signal(score, s["confidence"], s["description"], s["line"], s["snippet"])
+
     def of_line(f: Column) -> Column:
         urls = F.transform(net.urls_in(f["value"]), net.clean_url)
         hits = F.transform(urls, lambda u: F.struct(u.alias("url"), net.host_of(u).alias("host")))
         wanted = F.filter(hits, lambda h: (h["host"] != "") & accepted(h["url"], h["host"]) & reported(h["host"]))
-        return F.transform(wanted, lambda h: report(h, f))
+        found = F.transform(wanted, lambda h: report(h, f))
+        return F.transform(found, scored) if mapped else found
 
     lines = F.filter(F.col("fields"), lambda f: (f["field_source"].isin(*sources) if sources else F.lit(True)) & F.contains(F.lower(f["value"]), F.lit("://")))
-    return F.flatten(F.transform(lines, of_line))
+    return F.when(F.contains("raw_text", F.lit("://")), F.flatten(F.transform(lines, of_line))).otherwise(no_signals())
 
 
 def ip_address_scan(rule: Rule, config: Config) -> Column:
@@ -113,22 +128,45 @@ def ip_address_scan(rule: Rule, config: Config) -> Column:
 
         return F.transform(first, report)
 
-    lines = F.filter(F.col("fields"), lambda f: f["value"].rlike(r"\d\.\d|\[[0-9A-Fa-f:]+\]"))
-    return F.flatten(F.transform(lines, of_line))
+    lines = F.filter(F.col("fields"), lambda f: f["value"].rlike(_MAY_BE_ADDRESS))
+    return F.when(F.col("raw_text").rlike(_MAY_BE_ADDRESS), F.flatten(F.transform(lines, of_line))).otherwise(no_signals())
+
+
+def column_of(rule: Rule) -> str:
+    """Column with what :func:`docwarden.operators.python.with_python` finds for a rule."""
+    return f"__signals_{rule.rule_id}"
+
+
+def _may_be_opaque(rule: Rule, value: Column, length: int) -> Column:
+    """Whether a value is long enough, and no prose."""
+    long = F.length(value) >= length
+    if rule.match.get("skip_prose"):
+        long = long & ~(F.contains(value, F.lit(" ")) & (words_in(value) >= rule.match.get("prose_min_words", 3)))
+    return long
+
+
+def entropy_values(rule: Rule) -> Column:
+    """The values whose entropy :func:`entropy_check` needs."""
+    least = rule.match.get("min_length", 80)
+    values = F.filter(F.transform(F.col("fields"), lambda f: f["value"]), lambda v: _may_be_opaque(rule, v, least))
+    if rule.match.get("scan_frontmatter"):
+        declared = F.transform(_front_matter_entries(), lambda e: F.trim(e["value"]))
+        values = F.concat(values, F.filter(declared, lambda v: _may_be_opaque(rule, v, rule.match.get("frontmatter_min_length", least))))
+    return F.array_distinct(values)
 
 
 def entropy_check(rule: Rule, config: Config) -> Column:
-    """Long lines and front matter values that look encoded; prose is left alone."""
+    """Long lines and front matter values that look encoded; prose is left alone.
+
+    Entropies come from a map of values that one Arrow UDF makes for a batch of documents.
+    """
     match, score, meta = rule.match, rule.score(config), rule.metadata
     least = match.get("min_length", 80)
 
     def opaque(value: Column, length: int) -> Column:
-        dense = entropy(value) >= float(match.get("min_entropy", 4.5))
+        dense = F.coalesce(F.element_at(F.col(f"`{column_of(rule)}`"), value), F.lit(0.0)) >= float(match.get("min_entropy", 4.5))
         encoded = value.rlike(match["base64_pattern"]) if match.get("base64_pattern") else F.lit(False)
-        long = F.length(value) >= length
-        if match.get("skip_prose"):
-            long = long & ~(F.contains(value, F.lit(" ")) & (words_in(value) >= match.get("prose_min_words", 3)))
-        return F.when(long, encoded | dense).otherwise(F.lit(False))
+        return F.when(_may_be_opaque(rule, value, length), encoded | dense).otherwise(F.lit(False))
 
     lines = F.transform(F.filter(F.col("fields"), lambda f: opaque(f["value"], least)), lambda f: signal(score, meta["confidence"], rule.description, f["line"], f["snippet"]))
     if not match.get("scan_frontmatter"):
@@ -155,7 +193,9 @@ def key_pattern_match(rule: Rule, config: Config) -> Column:
             found = found & ~(where & f["value"].rlike(_PLACEHOLDER))
         return F.coalesce(found, F.lit(False))
 
-    lines = F.transform(F.filter(F.col("fields"), named), lambda f: signal(score, meta["confidence"], filled(rule.template, key=f["key"]), f["line"], f["snippet"]))
+    lines = F.transform(F.filter(F.col("fields"), lambda f: f["key"].isNotNull() & named(f)), lambda f: signal(score, meta["confidence"], filled(rule.template, key=f["key"]), f["line"], f["snippet"]))
+    # a key stands before a colon
+    lines = F.when(F.contains("raw_text", F.lit(":")), lines).otherwise(no_signals())
     if not match.get("scan_frontmatter"):
         return lines
     skipped = strings(match.get("frontmatter_skip_keys", terms.FRONT_MATTER_SKIP))
@@ -225,7 +265,8 @@ def token_scan(rule: Rule, config: Config) -> Column:
         text = F.concat(F.lit("Skill references "), n.cast("string"), F.lit(" tool invocation token"), F.when(n == 1, "").otherwise("s"), F.lit(". Tiers: "), tiers, F.lit("."))
         return signal(score, rule.metadata["confidence"], text, F.element_at(x["lines"], 1)["line"], preview(tokens, 5, ", "))
 
-    return F.transform(F.filter(found, lambda x: F.size(x["tokens"]) > 0), report)
+    # the pattern of lines, over the whole text first
+    return F.when(F.col("raw_text").rlike("[A-Z][A-Z0-9_]{3}"), F.transform(F.filter(found, lambda x: F.size(x["tokens"]) > 0), report)).otherwise(no_signals())
 
 
 def data_sensitivity_check(rule: Rule, config: Config) -> Column:

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from docwarden import terms
 from docwarden.config import Config
 from docwarden.functions import net
-from docwarden.functions.text import code
+from docwarden.functions.text import code, entropies
 from docwarden.model import SIGNAL
-from docwarden.operators.fields import no_signals
+from docwarden.operators.fields import column_of, entropy_values, no_signals
 from docwarden.rulepack import Rule
 
 _BOM = chr(0xFEFF)
@@ -247,15 +247,17 @@ def _udf(rule: Rule, score: int):
     return find
 
 
-def column_of(rule: Rule) -> str:
-    return f"__signals_{rule.rule_id}"
-
-
 def of_rule(rule: Rule, config: Config) -> Column:
     """What :func:`with_python` has found for the rule."""
     return F.coalesce(F.col(f"`{column_of(rule)}`"), no_signals())
 
 
+def _entropies(values: pd.Series) -> pd.Series:
+    lists = [() if v is None else v for v in values]
+    bits = iter(entropies([t for of in lists for t in of]))
+    return pd.Series([{t: next(bits) for t in of} if len(of) else None for of in lists])
+
+
 def _ipv6(tokens: pd.Series) -> pd.Series:
     out = []
     for found in tokens:
@@ -284,6 +286,9 @@ def with_python(parsed: DataFrame, rules: Iterable[Rule], config: Config) -> Dat
         if rule.strategy in TRIGGERS:
             gated = F.when(F.col("raw_text").rlike(TRIGGERS[rule.strategy]), F.col("raw_text"))
             added[column_of(rule)] = _udf(rule, rule.score(config))(gated, F.col("fm.kv"), F.col("body_start"))
+        elif rule.strategy == "entropy_check":
+            values = entropy_values(rule)
+            added[column_of(rule)] = F.pandas_udf(_entropies, "map<string,double>")(F.when(F.size(values) > 0, values))
         elif rule.strategy == "ip_address_scan" and "ipv6" not in added:
             added["ipv6"] = ipv6_of(F.array_distinct(F.transform(F.regexp_extract_all("raw_text", F.lit(net.BRACKETED), F.lit(1)), F.lower)))
     return parsed.withColumns(added) if added else parsed

@@ -22,7 +22,7 @@ from docwarden.model import OVERRIDE
 from docwarden.operators import LOCAL
 from docwarden.operators.python import with_python
 from docwarden.plans.parse import parse
-from docwarden.rulepack import Rule
+from docwarden.rulepack import Rule, find_rule
 
 _NET = ("NET_DOC_DOMAIN", "NET_UNKNOWN_DOMAIN")
 #: (covering rule, rules that it covers on the same line, whether only signals of at most its score)
@@ -80,6 +80,11 @@ def local_candidates(docs: DataFrame, rules: Sequence[Rule], config: Config, *,
     return left.select("skill", "path", "c.*").select(*CANDIDATE_COLUMNS)
 
 
+def run_rule(docs: DataFrame, rules: Sequence[Rule], rule_id: str, config: Config | None = None, *, front_matter: bool = True) -> DataFrame:
+    """Candidates of one rule that looks at one document, by its internal id or by a public one that a single rule has."""
+    return local_candidates(docs, [find_rule(rules, rule_id)], config or Config(), front_matter=front_matter, suppress=False)
+
+
 def suppress_rows(candidates: DataFrame) -> DataFrame:
     """The same for a table of candidates (path, rule_id, line, score): one anti join for all pairs of rules."""
     pairs = [(cover, covered, by_score) for cover, ids, by_score in SUPPRESSION for covered in ids]

@@ -114,6 +114,19 @@ def compile_rule(data: dict[str, Any], source: str = "<rule>") -> Rule:
     )
 
 
+def find_rule(rules: Sequence[Rule], rule_id: str) -> Rule:
+    """The rule of an internal id, else the only one of a public id."""
+    for rule in rules:
+        if rule.rule_id == rule_id:
+            return rule
+    public = [rule for rule in rules if rule.public_id == rule_id]
+    if len(public) > 1:
+        raise ConfigError(f"{rule_id} stands for several rules; name one of {', '.join(sorted(r.rule_id for r in public))}")
+    if not public:
+        raise ConfigError(f"{rule_id}: no such rule is loaded")
+    return public[0]
+
+
 def paths_of(rules_dir: Path | None = None, rule_files: Sequence[Path] | None = None) -> tuple[list[Path], list[Problem]]:
     """Files of custom rules, and what is wrong with how they are named."""
     if rules_dir is not None and rule_files:

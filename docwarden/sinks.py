@@ -111,19 +111,28 @@ def sarif_result(row: Row) -> dict[str, Any]:
     }
 
 
-def sarif(findings: DataFrame, about: dict[str, Any] | None = None) -> dict[str, Any]:
-    """A SARIF 2.1.0 document; a rule has the title of its gravest finding."""
+def sarif_parts(findings: DataFrame, about: dict[str, Any] | None = None) -> Iterator[str]:
+    """A SARIF 2.1.0 document in pieces, one finding at a time; a rule has the title of its gravest finding."""
     rules = findings.groupBy("rule_id").agg(F.min_by("title", F.struct(F.negate("score"), "id")).alias("title"), F.count("*").alias("n")).orderBy("rule_id").collect()
     run = {
         "tool": {"driver": {"name": "docwarden", "version": SCHEMA_VERSION, "rules": [{"id": r["rule_id"], "shortDescription": {"text": r["title"]}} for r in rules]}},
-        "results": [sarif_result(r) for r in _ordered(findings)],
+        "results": [],
         "properties": {"ruleDistribution": {r["rule_id"]: r["n"] for r in rules}} | (about or {}),
     }
-    return {"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}
+    before, after = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2).split('"results": []', 1)
+    yield before + '"results": ['
+    for i, row in enumerate(_ordered(findings)):
+        yield ("," if i else "") + "\n        " + json.dumps(sarif_result(row), indent=2).replace("\n", "\n        ")
+    yield "]" + after + "\n"
+
+
+def sarif(findings: DataFrame, about: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The whole document at once, for few findings."""
+    return json.loads("".join(sarif_parts(findings, about)))
 
 
 def write_sarif(findings: DataFrame, path: Path, about: dict[str, Any] | None = None) -> Path:
-    return _whole(path, lambda out: out.write(json.dumps(sarif(findings, about), indent=2) + "\n"))
+    return _whole(path, lambda out: out.writelines(sarif_parts(findings, about)))
 
 
 def json_lines(shown: DataFrame, warnings: list[str], summary: dict[str, Any] | None) -> Iterator[str]:
@@ -149,17 +158,35 @@ def write_json_lines(lines: Iterator[str], path: Path, *, append: bool = False)
     return _whole(path, lambda out: out.writelines(lines))
 
 
-def text_report(shown: DataFrame, config: Config, *, head: list[str], group_by: str | None = None, summary_only: bool = False) -> Iterator[str]:
-    """Lines of a report: a flat table, or groups by skill or rule with their scores, the gravest first."""
+_RED, _YELLOW, _CYAN, _GREEN, _PLAIN = "\033[31m", "\033[33m", "\033[36m", "\033[32m", "\033[0m"
+_SEVERITY_COLOURS = {"high": _RED, "medium": _YELLOW, "low": _CYAN}
+
+
+def score_colour(score: int) -> str:
+    return _RED if score >= 70 else _YELLOW if score >= 40 else _GREEN
+
+
+def text_report(shown: DataFrame, config: Config, *, head: list[str], group_by: str | None = None, summary_only: bool = False, colour: bool = False) -> Iterator[str]:
+    """Lines of a report: a flat table, or groups by skill or rule with their scores, the gravest first; one job either way."""
     yield from head
     if summary_only:
         return
-    row_text = lambda r: f"{r['severity']:<7}{r['score']:>4}  {'SEC' if r['classification'] == 'security' else 'INFO':<5}{r['rule_id']:<32}{r['skill']}  {r['evidence']['path']}:{r['evidence']['line'] or '-'}  {r['title']}"
+    in_colour = lambda text, with_: f"{with_}{text}{_PLAIN}" if colour else text
+
+    def row_text(r: Row) -> str:
+        kind = "SEC" if r["classification"] == "security" else "INFO"
+        severity, points = in_colour(f"{r['severity']:<7}", _SEVERITY_COLOURS[r["severity"]]), in_colour(f"{r['score']:>4}", score_colour(r["score"]))
+        return f"{severity}{points}  {kind:<5}{r['rule_id']:<32}{r['skill']}  {r['evidence']['path']}:{r['evidence']['line'] or '-'}  {r['title']}"
+
     if group_by is None:
         yield from map(row_text, _ordered(shown))
         return
     key = {"skill": "skill", "rule": "rule_id"}[group_by]
     groups = score.overall_scores(shown, [key], config.least_rule_score).join(shown.groupBy(key).agg(F.max("score").alias("worst"), F.count("*").alias("n")), key)
-    for g in groups.orderBy(F.desc("worst"), key).toLocalIterator():
-        yield f"{g[key]}: {g['n']} findings, score {g['overall_score']}"
-        yield from ("  " + row_text(r) for r in _ordered(shown.filter(F.col(key) == g[key])))
+    rows = shown.join(groups.select(F.col(key).alias("group_key"), "overall_score", "worst", "n"), F.col(key) == F.col("group_key"))
+    last = None
+    for r in rows.orderBy(F.desc("worst"), "group_key", F.desc("score"), "id").toLocalIterator():
+        if r["group_key"] != last:
+            last = r["group_key"]
+            yield f"{last}: {r['n']} findings, score {in_colour(r['overall_score'], score_colour(r['overall_score']))}"
+        yield "  " + row_text(r)

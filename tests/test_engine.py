@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import csv
 import json
+import math
 import random
+import re
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
 import yaml
 
+import docwarden
 from docwarden import cli, config, rulepack, sinks
 from docwarden.config import Config, ConfigError
 from docwarden.engine import scan_workspace
+from docwarden.functions import text
+from docwarden.model import FINDING
 from docwarden.plans import across, score
 from docwarden.plans.parse import parse
-from docwarden.plans.scan import scan
+from docwarden.plans.scan import run_rule, scan
 
 DOCS = {
     "ip": "connect 192.168.1.20\nconnect 8.8.8.8 now\nhttp://[2606:4700::1111]/x\nv [::1]\n1.2.3.04",
@@ -251,3 +257,62 @@ def test_command_line_scan(spark, tree, tmp_path):
     lines = [json.loads(x) for x in quiet.read_text().splitlines()]
     assert lines[-1]["data"]["gate_failed"] and lines[-1]["data"]["total_findings"] == 2
     assert Path(quiet).exists()
+
+
+def test_entropies_equal_plain_counts():
+    texts = ["", "a", "aaaa", "abab", "ü\U0001f600üx", "The quick brown fox"]
+    plain = [-sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0 for t in texts]
+    assert text.entropies(texts) == pytest.approx(plain) and text.entropies([]) == []
+
+
+def test_one_rule_by_its_id(spark):
+    docs = spark.createDataFrame([("d", "d", "---\ncommand: x\n---\ntoken: abc1\nuse ${API_KEY}")], "path string, skill string, raw_text string")
+    rules = rulepack.load()
+    assert [r["line"] for r in run_rule(docs, rules, "EXEC_FIELDS").collect()] == [2]
+    assert [r["line"] for r in run_rule(docs, rules, "SECRET_REF_KEYS").collect()] == [4]
+    with pytest.raises(ConfigError):
+        rulepack.find_rule(rules, "NO_SUCH_RULE")
+    twins = [replace(r, rule_id=f"OWN_{r.rule_id}") for r in rules if r.public_id == "SECRET_REF"]
+    with pytest.raises(ConfigError):
+        rulepack.find_rule(twins, "SECRET_REF")
+
+
+def test_score_map_names_parts_of_a_check(spark):
+    docs = spark.createDataFrame([("d", "d", "see https://a.other.io/x and https://bad.io/y\nhttps://x.io/mcp")], "path string, skill string, raw_text string")
+    config = Config(denylist_domains=("bad.io",))
+    (doc,) = [r for r in rulepack.load() if r.rule_id == "NET_DOC_DOMAIN"]
+    (mcp,) = [r for r in rulepack.load() if r.rule_id == "MCP_ENDPOINT"]
+    scores = lambda rule, mapped: sorted(r["score"] for r in run_rule(docs, [replace(rule, match=rule.match | {"score_map": mapped})], rule.rule_id, config).collect())
+    assert scores(doc, {}) == [15, 15, 80] and scores(doc, {"denylisted": 99}) == [15, 15, 99] and scores(doc, {"score": 40}) == [40, 40, 40]
+    assert scores(mcp, {"True": 33}) == [33] and scores(mcp, {"other": 33}) == [70]
+
+
+def test_reports_stream_and_have_colours(spark, found):
+    rows = [r for of in found.values() for r in of]
+    findings = spark.createDataFrame(rows, FINDING)
+    whole = sinks.sarif(findings, {"x": 1})
+    assert len(whole["runs"][0]["results"]) == len(rows) and whole["runs"][0]["properties"]["x"] == 1
+    assert sinks.sarif(findings.limit(0))["runs"][0]["results"] == []
+    plain, coloured = (list(sinks.text_report(findings, Config(), head=[], group_by="rule", colour=c)) for c in (False, True))
+    assert not any("\033" in x for x in plain) and [re.sub("\033\\[[0-9]+m", "", x) for x in coloured] == plain and any("\033[31m" in x for x in coloured)
+    assert sum(x.startswith("  ") for x in plain) == len(rows)
+
+
+def test_version_and_failures(capsys, tmp_path, monkeypatch):
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["--version"])
+    assert stop.value.code == 0 and docwarden.__version__ in capsys.readouterr().out
+
+    def broken(args):
+        raise OSError("disk is gone")
+
+    monkeypatch.setattr(cli, "run_scan", broken)
+    assert cli.main(["scan", "-r", str(tmp_path)]) == 1 and "disk is gone" in capsys.readouterr().err
+
+
+def test_warnings_are_counted_beyond_the_first(spark, monkeypatch):
+    from docwarden import engine
+
+    monkeypatch.setattr(engine, "MOST_WARNINGS", 3)
+    rows = spark.range(10).selectExpr("cast(id as string) as text").orderBy("id")
+    assert engine._told(rows, "things") == ["0", "1", "2", "7 more things"]
