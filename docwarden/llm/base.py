@@ -34,10 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """Path of a fresh folder for a written table in the shared folder."""
+    """Path of a fresh folder for a written table in the shared folder.
+
+    What an operator writes there is read when its result is, so it stays until
+    :func:`remove_folder` is called or the shared folder is cleared.
+    """
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
