@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docwarden.llm import packing, repeats, secrets, simhash, toxicity
-from docwarden.llm.base import new_folder, table
+from docwarden.llm.base import new_folder, remove_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,25 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: The learned lexicon, SimHash and the packing rule can't be expressed in SQL; tests hold each stage against brute force.
+#: The learned lexicon, SimHash and the packing rule can't be expressed in SQL; tests/llm/test_pipeline.py holds each stage
+#: against a brute-force version on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's table goes to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each stage's table goes to the shared folder, and goes from it once the next one is written.
+
+    Defined cases: the first four stages keep rows with a null id or text as they
+    are, whatever other columns there are, and the last one packs none of them; of
+    rows that repeat both id and text one stays, unlike texts of one id are each
+    judged by their own; empty texts are copies of each other; an empty table gives
+    no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

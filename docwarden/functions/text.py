@@ -27,8 +27,10 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
 
-def words_in(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, rf"(?U){_BLANK}+"), lambda w: w != ""))
+def has_words(text: Column, n: int) -> Column:
+    """Whether a text has n words or more."""
+    word = r"[^\s\x1c-\x1f]"
+    return F.lit(True) if n < 1 else text.rlike(rf"(?U)(?:{word}+{_BLANK}+){{{n - 1}}}{word}")
 
 
 def java_quote(text: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docwarden import terms
 from docwarden.config import Config
 from docwarden.functions import net
-from docwarden.functions.text import any_of, first_of, let, preview, strings, words_in
+from docwarden.functions.text import any_of, first_of, has_words, let, preview, strings
 from docwarden.model import SIGNAL
 from docwarden.rulepack import Rule
 
@@ -141,7 +141,7 @@ def _may_be_opaque(rule: Rule, value: Column, length: int) -> Column:
     """Whether a value is long enough, and no prose."""
     long = F.length(value) >= length
     if rule.match.get("skip_prose"):
-        long = long & ~(F.contains(value, F.lit(" ")) & (words_in(value) >= rule.match.get("prose_min_words", 3)))
+        long = long & ~(F.contains(value, F.lit(" ")) & has_words(value, int(rule.match.get("prose_min_words", 3))))
     return long
 
 
@@ -226,7 +226,11 @@ def field_pattern_match(rule: Rule, config: Config) -> Column:
             hit = hit & F.exists(refs, lambda r: r.rlike(any_of(terms.SECRET_REF_WORDS)))
         return hit
 
-    return F.transform(F.filter(F.col("fields"), found), lambda f: signal(rule.score(config), rule.metadata["confidence"], rule.description, f["line"], f["snippet"]))
+    signals = F.transform(F.filter(F.col("fields"), found), lambda f: signal(rule.score(config), rule.metadata["confidence"], rule.description, f["line"], f["snippet"]))
+    if rule.match.get("exclude_pattern_fn") != "is_non_secret_env_ref":
+        return signals
+    # what every reference holds, over the whole text first
+    return F.when(F.col("raw_text").rlike(r"(?i)\$|\{\{|os\.getenv\("), signals).otherwise(no_signals())
 
 
 def token_scan(rule: Rule, config: Config) -> Column:

@@ -42,10 +42,11 @@ _classes = lambda points: "".join(code(p) for p in points)
 _RANGES = "".join(f"{code(lo)}-{code(hi)}" for lo, hi in terms.CONFUSABLE_RANGES)
 #: strategy -> pattern without which it can't find anything
 TRIGGERS = {
-    "hidden_instruction_scan": rf"(?s)[{_classes(terms.ZERO_WIDTH)}]|.\x{{FEFF}}|<!--|[{_RANGES}]",
+    "hidden_instruction_scan": rf"[{_classes(terms.ZERO_WIDTH)}{_RANGES}]|<!--|(?<=(?s:.))\x{{FEFF}}",
     "bidi_control_scan": f"[{_classes(terms.BIDI_NAMES)}]",
     "confusable_identifier_scan": f"[{_RANGES}]",
-    "payload_decode_scan": r"[A-Za-z0-9+/\-_]{20}|(?:0x)?(?:[0-9A-Fa-f]{2}){8}|(?:\\u[0-9A-Fa-f]{4}){4}",
+    # tried where a run begins only
+    "payload_decode_scan": r"(?<![A-Za-z0-9+/\-_])[A-Za-z0-9+/\-_]{20}|(?<![0-9A-Fa-f])[0-9A-Fa-f]{16}|(?:\\u[0-9A-Fa-f]{4}){4}",
 }
 Signal = tuple[int, str, str, int, str]
 
