@@ -20,7 +20,6 @@ the words of one bucket at a time.
 from __future__ import annotations
 
 import base64
-import ctypes
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarden.llm.base import doc_columns, new_folder
+from docwarden.llm.base import doc_columns, give_back, new_folder
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,15 +144,6 @@ _CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payl
 _CHUNK_TYPES = "chunk long, bucket int, payload binary, more binary, doc_ids array<long>, counts array<int>"
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system; an idle worker would keep it for as long as the executor lives."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def _chunker(buckets: int, chunk_chars: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(PATTERN).findall
@@ -202,7 +192,7 @@ def _chunker(buckets: int, chunk_chars: int):
                     places.clear(), ids.clear(), counts.clear(), parts.clear()
         if ids:
             yield finish()
-        _give_back()
+        give_back()
 
     return chunks
 
@@ -238,7 +228,7 @@ def _word_encoder(ranks_of):
                     start = end
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([chunk], [bucket], [_pack(_varints(np.array(flat, dtype=np.int64)))], [_pack(_varints(np.array(sizes, dtype=np.int64)))], [None], [None]), _CHUNK_SCHEMA.types)], schema=_CHUNK_SCHEMA)
         known.clear()
-        _give_back()
+        give_back()
 
     return encode
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwarden.llm.base import cut, doc_columns, unwrapped, version_of, whole_rows, with_text
+from docwarden.llm.base import cut, doc_columns, lean, replaced, unwrapped, version_of, whole_rows, with_text
 from docwarden.llm.lyndon import common_prefixes, suffix_array
 from docwarden.llm.textkernels import EXACT, EXACT_CODES, Words, geometric_pair, gram_hashes, mix, runs, sliding_min, string_parts
 
@@ -298,7 +298,7 @@ def _sorter(min_words: int):
 def crowded_anchors(docs: DataFrame, min_words: int, anchor_words: int) -> list[int]:
     """Anchors that seem to have so many contexts that one task shouldn't hold them; at most 1 / CROWD_SHARE of them."""
     sampled = docs.filter(F.pmod(F.xxhash64("doc_id", "version"), F.lit(_SAMPLED)) == 0)
-    counts = sampled.mapInArrow(_anchors(min_words, anchor_words, []), _FOUND_TYPES).filter("weight > 0").groupBy("anchor").agg(F.count("*").alias("n"))
+    counts = sampled.mapInArrow(lean(_anchors(min_words, anchor_words, [])), _FOUND_TYPES).filter("weight > 0").groupBy("anchor").agg(F.count("*").alias("n"))
     often = cut(counts.filter(F.col("n") > CROWD / _SAMPLED))
     if often.isEmpty():
         return []
@@ -311,7 +311,7 @@ def _marks(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
     if not anchor_words < min_words <= 2048:
         raise ValueError("anchor_words < min_words <= 2048 is needed")
     crowded = crowded_anchors(docs, min_words, anchor_words)
-    found = docs.mapInArrow(_anchors(min_words, anchor_words, crowded), _FOUND_TYPES).repartition("anchor")
+    found = docs.mapInArrow(lean(_anchors(min_words, anchor_words, crowded)), _FOUND_TYPES).repartition("anchor")
     kind, hashed = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     seen = (
         found.withColumn("nth", F.row_number().over(kind.orderBy("doc_id", "version", "span")))
@@ -324,8 +324,8 @@ def _marks(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
     gone = ((F.col("nth") > 1) | (F.col("weight") == 0)).alias("gone")
     whole = seen.filter("nth > 1 or kinds = 1 or weight = 0").select("doc_id", "version", F.shiftright("span", 12).alias("start_word"), end, gone)
     wanted = seen.filter("nth = 1 and kinds > 1 and weight > 0").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "span", "copies")).alias("requests"))
-    fetched = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "version"]).mapInArrow(_contexts(min_words), "anchor long, doc_id long, version long, span long, copies long, text string")
-    sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "span").mapInArrow(_sorter(min_words), "doc_id long, version long, start_word long, end_word long, gone boolean")
+    fetched = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "version"]).mapInArrow(lean(_contexts(min_words)), "anchor long, doc_id long, version long, span long, copies long, text string")
+    sorted_ = fetched.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "span").mapInArrow(lean(_sorter(min_words)), "doc_id long, version long, start_word long, end_word long, gone boolean")
     return whole.unionByName(sorted_)
 
 
@@ -361,7 +361,7 @@ def resolve(marks: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
 def _intervals(known: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
     """Rows (doc_id, version, start_word, end_word, is_cut) of documents (doc_id, version, text)."""
     marks = _marks(known, min_words, anchor_words).groupBy("doc_id", "version").agg(F.collect_set(F.struct("start_word", "end_word", "gone")).alias("marks"))
-    return marks.mapInArrow(_differences, "doc_id long, version long, start_word long, end_word long, is_cut boolean")
+    return marks.mapInArrow(lean(_differences), "doc_id long, version long, start_word long, end_word long, is_cut boolean")
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
@@ -402,7 +402,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = batch["cuts"].to_pylist()
         marked = [i for i, x in enumerate(cuts) if x]
         if marked:
-            texts = columns[at].to_pylist()
+            texts: dict[int, str] = {}
             for first, stop, words in runs(columns[at].take(pa.array(marked))):
                 for d in range(stop - first):
                     i = marked[first + d]
@@ -414,7 +414,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out.append(raw[last : words.start[lo] - base])
                         last = (words.start[hi] - base) if hi < w1 else len(raw)
                     texts[i] = b"".join([*out, raw[last:]]).decode("utf-8")
-            columns[at] = pa.array(texts, columns[at].type)
+            columns[at] = replaced(columns[at], texts)
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -434,4 +434,4 @@ def cut_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, anchor_words: in
     version = version_of(docs["text"].cast("string")) if repeat else F.lit(0).cast("long")
     rows = whole_rows(docs, docs["doc_id"].cast("long").alias("doc_id"), version.alias("version"))
     joined = rows.join(cuts, ["doc_id", "version"], "left").select("row", "cuts")
-    return with_text(joined.mapInArrow(_cutter, docs.schema), F.col("text"))
+    return with_text(joined.mapInArrow(lean(_cutter), docs.schema), F.col("text"))

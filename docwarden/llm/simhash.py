@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from docwarden.llm.base import cut, doc_columns, version_of, whole_rows
+from docwarden.llm.base import cut, doc_columns, lean, version_of, whole_rows
 from docwarden.llm.bitslice import block_pairs, near_in_runs
 from docwarden.llm.components import components
 from docwarden.llm.textkernels import ALNUM, FOLDED_CODES, bit_votes, mix, runs
@@ -81,7 +81,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, version (a hash of the text) and signature of every row that has an id and a text."""
     known = doc_columns(docs).filter("doc_id is not null and text is not null")
-    return known.select("doc_id", version_of(F.col("text")).alias("version"), "text").mapInArrow(_signature_batches, f"doc_id long, version long, {_SIGNATURE}")
+    return known.select("doc_id", version_of(F.col("text")).alias("version"), "text").mapInArrow(lean(_signature_batches), f"doc_id long, version long, {_SIGNATURE}")
 
 
 def _band_places(bands: int, band_bits: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def near_edges(sigs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL,
     """Edges (a, b) that join all signatures (node, s0 .. s3) within the radius that share a bucket."""
     cols = ["node", *_WORDS]
     bands, band_bits = bands_for(sigs.count(), radius, recall)
-    spread = sigs.select(*cols).mapInArrow(_bander(bands, band_bits), f"bucket long, node long, {_SIGNATURE}")
+    spread = sigs.select(*cols).mapInArrow(lean(_bander(bands, band_bits)), f"bucket long, node long, {_SIGNATURE}")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
     sized = spread.join(sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "bucket", "left")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -198,7 +198,7 @@ def near_edges(sigs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL,
     )
     placed = sized.select(*cols, "bucket", F.explode(parts).alias("p")).select("bucket", "p.first", "p.second", "p.side", *cols)
     ordered = placed.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second", "side", "node")
-    return ordered.mapInArrow(_comparer(radius), "a long, b long")
+    return ordered.mapInArrow(lean(_comparer(radius)), "a long, b long")
 
 
 def _groups(docs: DataFrame, **limits: float) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwarden.llm.base import cut, doc_columns, unwrapped, whole_rows
+from docwarden.llm.base import cut, doc_columns, lean, unwrapped, whole_rows
 from docwarden.llm.textkernels import string_parts
 from docwarden.llm.transducers import Transducer, compose
 
@@ -50,7 +50,7 @@ DENSITY = 0.005
 LEAST_STEM, LONGEST_STEM = 3, 14
 #: log odds at which a learned word weighs as much as a fixed one
 FULL_ODDS = math.log(100)
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 _WORDS = {
     "INSULT": """idiot idiots stupid moron morons loser losers trash scum pathetic worthless disgusting clown clowns
@@ -352,7 +352,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = TH
     alone is used; an empty table gives no rows; other columns are not looked at.
     """
     stems = learn_stems(docs, labels, sample_rows=sample_rows)
-    return doc_columns(docs).filter("text is not null").mapInArrow(_scorer(stems, threshold), "doc_id long, score double, total double, clauses long, worst_clause string")
+    return doc_columns(docs).filter("text is not null").mapInArrow(lean(_scorer(stems, threshold)), "doc_id long, score double, total double, clauses long, worst_clause string")
 
 
 def _sieve(stems: dict[str, float], threshold: float):
@@ -375,4 +375,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
     any names; an empty table stays empty.
     """
     stems = learn_stems(docs, labels, sample_rows=sample_rows)
-    return whole_rows(docs).mapInArrow(_sieve(stems, threshold), docs.schema)
+    return whole_rows(docs).mapInArrow(lean(_sieve(stems, threshold)), docs.schema)
