@@ -38,6 +38,8 @@ RECALL = 0.97
 BUCKET_ROWS = 64
 LEAST_BAND_BITS = 16
 BLOCK_ROWS = 8192
+#: as many large buckets (a few bytes each) are broadcast; more are joined by a shuffle
+MOST_BROADCAST = 100_000
 _SHORT_RUN = 48
 _SEEDS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _WORDS = [f"s{i}" for i in range(WIDTH)]
@@ -187,7 +189,13 @@ def near_edges(sigs: DataFrame, *, radius: int = RADIUS, recall: float = RECALL,
     bands, band_bits = bands_for(sigs.count(), radius, recall)
     spread = sigs.select(*cols).mapInArrow(lean(_bander(bands, band_bits)), f"bucket long, node long, {_SIGNATURE}")
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows)
-    sized = spread.join(sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "bucket", "left")
+    large = cut(sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    number = large.count()
+    if number <= MOST_BROADCAST:
+        # few or no buckets have several blocks, so the rows needn't move to learn of theirs
+        sized = spread.join(F.broadcast(large), "bucket", "left") if number else spread.withColumn("blocks", F.lit(None).cast("int"))
+    else:
+        sized = spread.join(large, "bucket", "left")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a bucket of one block meets itself; with more, block x meets every block y once, as the pair (least, greatest)
     parts = F.when(F.coalesce("blocks", F.lit(1)) <= 1, F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(0).alias("side")))).otherwise(

@@ -411,7 +411,9 @@ def test_near_duplicates(spark):
     assert all(found[5000 + i] == (5000, 1000) for i in range(1, 1000))
 
 
-def test_near_edges_equal_all_pairs_within_the_radius(spark):
+@pytest.mark.parametrize("most", [simhash.MOST_BROADCAST, 0])
+def test_near_edges_equal_all_pairs_within_the_radius(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
     rows = []
     for g in range(40):
         base = words(120, 100 + g).split()
