@@ -1,18 +1,24 @@
-"""Bit-sliced Hamming comparison of wide signatures.
-
-Signatures are stored vertically: plane b holds bit b of 64 signatures in each
-machine word, so one XOR compares a bit of 64 pairs.  The differences are added
-up in vertical counters (counter bit c of 64 pairs in one word) by carry-save
-adders, and a word is dropped as soon as all of its pairs exceed the radius.
+"""Hamming comparison of wide signatures: bit-sliced in large blocks, listed in short runs.
+
+In a block, signatures are stored vertically: plane b holds bit b of 64
+signatures in each machine word, so one XOR compares a bit of 64 pairs.  The
+differences are added up in vertical counters (counter bit c of 64 pairs in one
+word) by carry-save adders, and a word is dropped as soon as all of its pairs
+exceed the radius.  Runs of few rows would leave most of the 64 lanes empty, so
+their pairs are listed and compared a signature word at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: planes that are added between two tests of which words are still needed
 STRIDE = 16
+#: pairs of short runs that are listed at once
+LISTED = 1 << 17
 
 
 def planes_of(signatures: np.ndarray) -> np.ndarray:
@@ -71,14 +77,13 @@ def _lanes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat >> 6, flat & 63
 
 
-def block_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i of left, j of right) within the radius; with ``same`` only i < j."""
+def block_parts(left: np.ndarray, right: np.ndarray, radius: int, skipped: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some pairs (i of left, j of right) within the radius at a time; ``skipped`` holds for each row of left the first row of right that is left out and the one behind the last."""
     if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     width = 64 * left.shape[1]
     planes = planes_of(right)
     m, columns = len(right), planes.shape[1]
-    found_i, found_j = [], []
     tail = np.full(columns, _ONES)
     if m % 64:
         tail[-1] = np.uint64((1 << (m % 64)) - 1)
@@ -86,12 +91,14 @@ def block_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool) ->
     for at in range(0, len(left), step):
         queries = left[at : at + step]
         count = len(queries)
+        first, last = (x[at : at + step] for x in skipped)
+        row, column = np.repeat(np.arange(count), columns), np.tile(np.arange(columns), count)
+        needed = (column * 64 < first[row]) | (np.minimum(column * 64 + 64, m) > last[row])
+        row, column = row[needed], column[needed]
+        if not len(row):
+            continue
         bits = np.unpackbits(np.ascontiguousarray(queries).view(np.uint8).reshape(count, -1), axis=1, bitorder="little")
         flip = np.where(bits, _ONES, np.uint64(0))
-        row, column = np.repeat(np.arange(count), columns), np.tile(np.arange(columns), count)
-        if same:
-            needed = column * 64 + 63 > row + at
-            row, column = row[needed], column[needed]
         alive = tail[column]
         counters = Counters(row.shape, width)
         for b in range(0, width, STRIDE):
@@ -106,57 +113,43 @@ def block_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool) ->
                     break
         if len(row):
             word, lane = _lanes(alive)
-            found_i.append(row[word] + at)
-            found_j.append(column[word] * 64 + lane)
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    if same:
-        keep = i < j
-        i, j = i[keep], j[keep]
-    return i, j
+            i, j = row[word], column[word] * 64 + lane
+            keep = (j < first[i]) | (j >= last[i])
+            yield i[keep] + at, j[keep]
 
 
-def _shifted(plane: np.ndarray, words: np.ndarray, by: int) -> np.ndarray:
-    """Word w of the plane moved down by ``by`` lanes: lane l holds signature 64 w + l + by."""
-    skip, bit = words + (by >> 6), by & 63
-    low = plane[skip] >> np.uint64(bit)
-    return low | (plane[skip + 1] << np.uint64(64 - bit)) if bit else low
+def block_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i of left, j of right) within the radius; with ``same`` only i < j."""
+    none = np.zeros(len(left), np.int64)
+    found = [(none[:0], none[:0]), *block_parts(left, right, radius, (none, np.arange(1, len(left) + 1) if same else none))]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def near_in_runs(signatures: np.ndarray, size_left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the radius among neighbours of the same short run.
 
     Rows are sorted by run; ``size_left[i]`` counts the later rows of row i's
-    run.  For each shift d all rows are compared with the row d further on at
-    once, so many short runs share the words.
+    run.  All pairs of some runs are listed, and those that exceed the radius
+    leave the list after each word.
     """
-    n = len(signatures)
-    planes = np.pad(planes_of(signatures), ((0, 0), (0, 2 + int(size_left.max(initial=0)) // 64)))
-    width, words = len(planes), -(-n // 64)
-    found_i, found_d = [], []
-    padded = np.zeros(words * 64, dtype=np.int64)
-    padded[:n] = size_left
-    for d in range(1, int(size_left.max(initial=0)) + 1):
-        alive = np.packbits(padded >= d, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(alive)
-        alive = alive[at]
-        counters = Counters(at.shape, width)
-        for b in range(0, width, STRIDE):
-            counters.add_pairs([planes[x][at] ^ _shifted(planes[x], at, d) for x in range(b, b + STRIDE)])
-            if b + STRIDE > radius:
-                alive = alive & counters.at_most(radius)
-                keep = np.flatnonzero(alive)
-                if len(keep) < len(at):
-                    at, alive = at[keep], alive[keep]
-                    counters.keep(keep)
-                if not len(at):
-                    break
-        if len(at):
-            word, lane = _lanes(alive)
-            found_i.append(at[word] * 64 + lane)
-            found_d.append(np.full(len(word), d))
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i = np.concatenate(found_i)
-    return i, i + np.concatenate(found_d)
+    n, width = signatures.shape
+    words = [np.ascontiguousarray(signatures[:, w]) for w in range(width)]
+    upto = np.concatenate(([0], np.cumsum(size_left)))
+    none = np.zeros(0, np.int64)
+    found_i, found_j = [none], [none]
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(upto, upto[lo] + LISTED, side="right")) - 1))
+        i = np.repeat(np.arange(lo, hi), size_left[lo:hi])
+        # the pairs of row r are numbered from upto[r]
+        j = i + 1 + np.arange(upto[lo], upto[hi]) - upto[i]
+        differing = np.zeros(len(i), dtype=np.uint16)
+        for word in words:
+            differing += np.bitwise_count(word[i] ^ word[j])
+            keep = np.flatnonzero(differing <= radius)
+            if len(keep) < len(i):
+                i, j, differing = i[keep], j[keep], differing[keep]
+        found_i.append(i)
+        found_j.append(j)
+        lo = hi
+    return np.concatenate(found_i), np.concatenate(found_j)

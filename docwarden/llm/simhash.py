@@ -1,10 +1,12 @@
-"""Near duplicates: wide SimHash signatures compared bit-sliced.
+"""Near duplicates: wide SimHash signatures compared in buckets.
 
 Each document gets a 256-bit SimHash of its set of folded words.  Documents of
 one signature are collapsed to the one of least id first, so thousands of exact
 copies cost one comparison row.  The distinct signatures meet in buckets of
 sampled signature bits (band keys), and within a bucket every row is compared
-with every other one by :mod:`docwarden.llm.bitslice`.  Only the edges of a
+with every other one by :mod:`docwarden.llm.bitslice`: pairs of ordinary buckets
+are listed, those of crowded ones compared bit-sliced, but for rows that are
+joined already by a row that is near to both.  Only the edges of a
 spanning forest leave a bucket, and connected components make the groups.
 
 Scale: the shuffles carry signatures (about 50 bytes a document and band),
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from docwarden.llm.base import cut, doc_columns, lean, version_of, whole_rows
-from docwarden.llm.bitslice import block_pairs, near_in_runs
+from docwarden.llm.bitslice import block_parts, near_in_runs
 from docwarden.llm.components import components
 from docwarden.llm.textkernels import ALNUM, FOLDED_CODES, bit_votes, mix, runs
 
@@ -40,7 +42,9 @@ LEAST_BAND_BITS = 16
 BLOCK_ROWS = 8192
 #: as many large buckets (a few bytes each) are broadcast; more are joined by a shuffle
 MOST_BROADCAST = 100_000
-_SHORT_RUN = 48
+_SHORT_RUN = 512
+#: rows of a crowded bucket that are compared with all others first
+_STARS = 16
 _SEEDS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x2545F4914F6CDD1D, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _WORDS = [f"s{i}" for i in range(WIDTH)]
 _SIGNATURE = ", ".join(f"{w} long" for w in _WORDS)
@@ -107,13 +111,10 @@ def _bander(bands: int, band_bits: int):
     return spread
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of stars that join what the pairs (a, b) join: each id with the least of its part."""
-    if not len(a):
-        return a, b
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(ids))
+def _merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each row's least of its part) after the pairs (x, y) have joined parts."""
+    apart = label[x] != label[y]
+    x, y = x[apart], y[apart]
     while True:
         low = np.minimum(label[x], label[y])
         new = label.copy()
@@ -123,12 +124,56 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(new, label[y], low)
         new = new[new]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of stars that join what the pairs (a, b) join: each id with the least of its part."""
+    if not len(a):
+        return a, b
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _merged(np.arange(len(ids)), flat[: len(a)], flat[len(a) :])
     other = np.flatnonzero(label != np.arange(len(ids)))
     return ids[other], ids[label[other]]
 
 
+def _stars(words: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of the rows after some of them, none near an earlier one, have been joined with all that are near."""
+    label = np.arange(len(words))
+    lone = np.ones(len(words), dtype=bool)
+    for k in range(_STARS):
+        left = np.flatnonzero(lone)
+        if len(left) < 2:
+            break
+        near = np.bitwise_count(words ^ words[left[k * len(left) // _STARS]]).sum(axis=1) <= radius
+        lone[near] = False
+        roots = np.unique(label[near])
+        label[np.isin(label, roots)] = roots[0]
+    return label
+
+
+def linked(words: np.ndarray, radius: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of stars that join what the pairs within the radius join.
+
+    With ``first``, only pairs of one of the first so many rows and a later one
+    count (others may be joined, too, if they are near).  No pair is compared
+    whose rows a star has joined.
+    """
+    label = _stars(words, radius)
+    cut_at = 0 if first is None else first
+    left = np.argsort(label if first is None else label[:first], kind="stable")
+    right = cut_at + np.argsort(label[cut_at:], kind="stable")
+    begin, end = (np.searchsorted(label[right], label[left], side=s) for s in ("left", "right"))
+    if first is None:
+        # earlier rows have been compared with this one
+        begin = np.zeros_like(begin)
+    for i, j in block_parts(words[left], words[right], radius, (begin, end)):
+        label = _merged(label, left[i], right[j])
+    other = np.flatnonzero(label != np.arange(len(words)))
+    return other, label[other]
+
+
 def _comparer(radius: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by (bucket, first, second, side); a task's part may end inside a batch."""
@@ -141,21 +186,16 @@ def _comparer(radius: int):
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             size_of = np.repeat(sizes, sizes)
             cross = key[:, 1] != key[:, 2]
-            short = (size_of <= _SHORT_RUN) & ~cross
+            short = (size_of > 1) & (size_of <= _SHORT_RUN) & ~cross
             found = []
             if short.any():
                 left = (np.repeat(starts + sizes, sizes) - 1 - np.arange(len(key)))[short]
                 i, j = near_in_runs(words[short], left, radius)
                 found.append((ids[short][i], ids[short][j]))
-            for s, m in zip(starts, sizes):
-                part = slice(s, s + m)
-                if cross[s]:
-                    one = side[part] == 0
-                    i, j = block_pairs(words[part][one], words[part][~one], radius, same=False)
-                    found.append((ids[part][one][i], ids[part][~one][j]))
-                elif m > _SHORT_RUN:
-                    i, j = block_pairs(words[part], words[part], radius, same=True)
-                    found.append((ids[part][i], ids[part][j]))
+            for at in np.flatnonzero(cross[starts] | (sizes > _SHORT_RUN)).tolist():
+                part = slice(starts[at], starts[at] + sizes[at])
+                i, j = linked(words[part], radius, int(np.sum(side[part] == 0)) if cross[starts[at]] else None)
+                found.append((ids[part][i], ids[part][j]))
             if found:
                 a, b = _forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
                 if len(a):

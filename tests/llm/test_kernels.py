@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docwarden.llm import bitslice, bpe, lyndon, matroska, packing, repeats, secrets, toxicity, warc
+from docwarden.llm import bitslice, bpe, lyndon, matroska, packing, repeats, secrets, simhash, toxicity, warc
 
 
 @given(st.lists(st.integers(0, 3), max_size=60))
@@ -51,6 +52,55 @@ def test_bit_sliced_pairs_equal_brute_force(n, radius):
         assert {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())} == expected
 
 
+def test_short_runs_are_compared_at_a_small_cost_a_pair():
+    # as the buckets of a corpus of some gigabytes: many lengths, unlike rows
+    rng = np.random.default_rng(4)
+    sizes = rng.geometric(1 / 12, 1500)
+    sigs = rng.integers(0, 1 << 63, (int(sizes.sum()), 4), dtype=np.uint64)
+    left = np.concatenate([np.arange(n)[::-1] for n in sizes])
+    began = time.process_time()
+    i, _ = bitslice.near_in_runs(sigs, left, 40)
+    assert time.process_time() - began < 3e-7 * left.sum() and not len(i)
+
+
+@pytest.mark.parametrize("n", [1, 70, 700])
+@pytest.mark.parametrize("first", [None, 0, 30])
+def test_crowded_buckets_are_joined_as_all_pairs_join_them(n, first):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, (max(1, n // 60), 4), dtype=np.uint64)
+    sigs = base[rng.integers(0, len(base), n)].copy()
+    for i in range(n):
+        for _ in range(rng.integers(0, 45)):
+            sigs[i, rng.integers(0, 4)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    near = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(axis=2) <= 40
+    counted = np.triu(near, 1)
+    if first is not None:
+        counted[:first, :first] = counted[first:, first:] = False
+    a, b = simhash.linked(sigs, 40, first)
+
+    def labels(x, y):
+        return simhash._merged(np.arange(n), np.asarray(x, dtype=int), np.asarray(y, dtype=int))
+
+    found, wanted, most = labels(a, b), labels(*np.nonzero(counted)), labels(*np.nonzero(np.triu(near, 1)))
+    assert len(a) == n - len(np.unique(found))
+    if first is None:
+        assert np.array_equal(found, wanted)
+    # with a first part no wanted pair is apart, and none is joined that isn't by near ones
+    x, y = np.nonzero(counted)
+    assert np.array_equal(found[x], found[y]) and np.array_equal(most[found], most)
+
+
+def test_rows_that_a_star_has_joined_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    sigs = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 3000, axis=0)
+    sigs[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    listed = []
+    parts = bitslice.block_parts
+    monkeypatch.setattr(simhash, "block_parts", lambda *a: (listed.append(len(p[0])) or p for p in parts(*a)))
+    a, b = simhash.linked(sigs, 40)
+    assert len(a) == 2999 and set(b) == {0} and not listed
+
+
 def test_packing_rule_equals_brute_force():
     rng = np.random.default_rng(3)
     capacity = 20
