@@ -3,8 +3,8 @@
 Candidates are runs of at least ``MIN_LENGTH`` characters of the base64
 alphabets.  A key may be joined to a prefix, a path or another key, so a run has
 several hypotheses: the whole of it, every longest stretch of symbols of one
-encoding within it (with and without what stands before a separator of its first
-``LONGEST_PREFIX`` characters), and groups with hyphens between (UUIDs).
+encoding within it (with and without what stands before any separator in it),
+and groups with hyphens between (UUIDs).
 A span's encoding is the least that has all its characters, and two questions
 are asked.
 
@@ -32,12 +32,16 @@ passes is reported.
 
 Scale: both statistics of the corpus, the counts of neighbours and the histogram
 of e-values, are partial sums of fixed size.  No text is shuffled; redaction reads
-the texts again and repeats the decision.
+the texts again and repeats the decision.  A run has as many hypotheses as
+separators; all they are asked are differences of running sums (whole numbers, so
+they don't depend on what else is in a batch), so a run costs no more than its
+length times a logarithm, however many there are.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -52,11 +56,14 @@ from docwarden.llm.textkernels import runs
 MIN_LENGTH = 16
 FALSE_DISCOVERY = 0.01
 LEAST_RANDOM = 1e-4
-LONGEST_PREFIX = 64
 #: shares of letters at which the case changes: in plain words, names and names of several words
 CASE_CHANGES = (0.01, 0.06, 0.15)
 MASK = "[SECRET]"
 _BINS_PER_UNIT = 8
+#: log probabilities are summed as multiples of 1 / _UNITS
+_UNITS = 1 << 30
+#: spans up to this length are counted by themselves, longer ones from running sums of their run
+_COUNTED = 4096
 
 _ALPHABET = np.zeros(256, dtype=bool)
 _ALPHABET[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
@@ -84,6 +91,10 @@ _JOINED = ("hex", "HEX", "BASE36")
 _JOINT = ord("-")
 _GROUP = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 _IS_SEPARATOR = np.isin(np.arange(256), list(b"+/_-"))
+#: place of each byte in each encoding, -1 where it has none
+_PLACE = np.full((len(_NAMES), 256), -1, dtype=np.int64)
+for _e, _symbols in enumerate(ENCODINGS.values()):
+    _PLACE[_e, [ord(_c) for _c in _symbols]] = np.arange(len(_symbols))
 _SEPARATORS = {"base64": list(b"/"), "base64url": list(b"-_"), "mixed": list(b"/-_")}
 
 
@@ -214,33 +225,49 @@ def _gamma_tail(a: float, x: float) -> float:
     return min(1.0, front * h)
 
 
+class _Symbols:
+    """Running counts over symbols of an alphabet of k, of which the battery of any span is read."""
+
+    def __init__(self, values: np.ndarray, k: int):
+        n, self.k = len(values), k
+        high = values * 2 >= k
+        centred = values * 2 - (k - 1)
+        self.high = np.concatenate(([0], np.cumsum(high)))
+        # entry i: changes, and products of neighbours, up to and with the pair (i - 1, i)
+        self.changes = np.concatenate(([0], np.cumsum(high[1:] != high[:-1])))
+        self.products = np.concatenate(([0], np.cumsum(centred[1:] * centred[:-1])))
+        self.places = np.sort(values * (n + 1) + np.arange(n))
+        self.firsts = np.arange(k) * (n + 1)
+
+    def battery(self, lo: int, hi: int) -> tuple[float, float, float, float]:
+        n, k = hi - lo, self.k
+        # neighbouring symbols share a cell where there would be fewer than two a cell
+        cells = max(2, min(k, n // 2))
+        cell = np.arange(k) * cells // k
+        each = np.searchsorted(self.places, self.firsts + hi) - np.searchsorted(self.places, self.firsts + lo)
+        counts = np.bincount(cell, weights=each, minlength=cells)
+        shares = np.bincount(cell, minlength=cells) / k
+        chi = float(np.sum((counts - n * shares) ** 2 / (n * shares)))
+        uniform = _gamma_tail((cells - 1) / 2, chi / 2)
+        n1 = int(self.high[hi] - self.high[lo])
+        n2 = n - n1
+        if n1 and n2:
+            mean = 2 * n1 * n2 / n + 1
+            spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+            found = 1 + int(self.changes[hi - 1] - self.changes[lo])
+            p_runs = math.erfc(max(0.0, abs(found - mean) - 0.5) / spread / math.sqrt(2))
+        else:
+            p_runs = 2.0 ** (1 - n)
+        variance = (k * k - 1) / 12
+        serial = float(self.products[hi - 1] - self.products[lo]) / 4 / (variance * math.sqrt(n - 1))
+        p_serial = math.erfc(abs(serial) / math.sqrt(2))
+        return uniform, p_runs, p_serial, min(1.0, 3 * min(uniform, p_runs, p_serial))
+
+
 def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
     """p-values of uniformity, runs and serial correlation of the symbols, and of all three (the least, three times)."""
-    symbols = ENCODINGS[encoding]
-    place = {c: i for i, c in enumerate(symbols)}
-    values = np.array([place[c] for c in token], dtype=float)
-    n, k = len(values), len(symbols)
-    # neighbouring symbols share a cell where there would be fewer than two a cell
-    cells = max(2, min(k, n // 2))
-    counts = np.bincount((values * cells // k).astype(int), minlength=cells)
-    shares = np.bincount(np.arange(k) * cells // k, minlength=cells) / k
-    chi = float(np.sum((counts - n * shares) ** 2 / (n * shares)))
-    uniform = _gamma_tail((cells - 1) / 2, chi / 2)
-    high = values >= k / 2
-    n1 = int(high.sum())
-    n2 = n - n1
-    if n1 and n2:
-        mean = 2 * n1 * n2 / n + 1
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        found = 1 + int(np.sum(high[1:] != high[:-1]))
-        p_runs = math.erfc(max(0.0, abs(found - mean) - 0.5) / spread / math.sqrt(2))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    centred = values - (k - 1) / 2
-    variance = (k * k - 1) / 12
-    serial = float(np.sum(centred[1:] * centred[:-1])) / (variance * math.sqrt(n - 1))
-    p_serial = math.erfc(abs(serial) / math.sqrt(2))
-    return uniform, p_runs, p_serial, min(1.0, 3 * min(uniform, p_runs, p_serial))
+    values = _PLACE[_NAMES.index(encoding), np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
+    return _Symbols(values, len(ENCODINGS[encoding])).battery(0, len(values))
 
 
 def _stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +281,15 @@ def _candidates(column: pa.Array, background: Background):
     models = []
     for log_pair in (background.log_pair, _COMMON_PAIR):
         separators = np.log(np.exp(log_pair[:, _SEPARATOR_CODES]).sum(1))
-        models.append((log_pair, separators, np.log1p(-np.exp(separators)), np.log1p(-np.exp(log_pair[:, _CODE[_JOINT]]))))
+        logs = (log_pair, separators, np.log1p(-np.exp(separators)), np.log1p(-np.exp(log_pair[:, _CODE[_JOINT]])))
+        models.append([np.rint(x * _UNITS).astype(np.int64) for x in logs])
+
+    def running(per_symbol: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.concatenate(([0], np.cumsum(x))) for x in per_symbol]
 
-    def mixed(per_symbol: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+    def mixed(sums: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Log probability of each span under the equal mixture of the models."""
-        return np.logaddexp(*(np.add.reduceat(x, ends)[::2] for x in per_symbol)) - math.log(2)
+        return np.logaddexp(*((x[hi] - x[lo]) / _UNITS for x in sums)) - math.log(2)
 
     for first, _, words in runs(column, _ALPHABET.astype(np.uint8), None):
         length = words.end - words.start
@@ -277,7 +308,7 @@ def _candidates(column: pa.Array, background: Background):
         outside = _OUTSIDE[data]
         code = _CODE[data]
         last = np.concatenate(([_OUT], code[:-1]))
-        ordinary = [np.where(data > 0, m[0][last, np.minimum(code, _OUT - 1)], 0.0) for m in models]
+        ordinary = [np.where(data > 0, m[0][last, np.minimum(code, _OUT - 1)], 0) for m in models]
         letter = _IS_LETTER[data]
         letters = np.concatenate(([0], np.cumsum(letter)))
         places = np.flatnonzero(letter)
@@ -292,7 +323,7 @@ def _candidates(column: pa.Array, background: Background):
 
         # a part between separators is weighed given where the separators are
         separator = _IS_SEPARATOR[data]
-        given = [x - np.where(separator, m[1][last], m[2][last]) for x, m in zip(ordinary, models)]
+        given = running([x - np.where(separator, m[1][last], m[2][last]) for x, m in zip(ordinary, models)])
         edge = separator | (data == 0)
         before = np.concatenate([[True], edge[:-1]])
         breaks_of = np.bincount(run_of[separator], minlength=len(chosen))
@@ -302,7 +333,8 @@ def _candidates(column: pa.Array, background: Background):
         for joined, names in ((False, _NAMES), (True, _JOINED)):
             joint = (data == _JOINT) & joined
             bits = np.where(joint, 0, outside)
-            log_f = [np.where(joint, 0.0, x - m[3][last]) for x, m in zip(ordinary, models)] if joined else ordinary
+            sums = running([np.where(joint, 0, x - m[3][last]) for x, m in zip(ordinary, models)] if joined else ordinary)
+            strange = [np.flatnonzero(bits >> e & 1) for e in range(len(_NAMES))]
             for name in names:
                 e = _NAMES.index(name)
                 if name == "decimal":
@@ -321,8 +353,8 @@ def _candidates(column: pa.Array, background: Background):
                         # a path or prefix of the same alphabet may lie before the key
                         breaks = np.flatnonzero(np.isin(data, _SEPARATORS[name]))
                         of = np.searchsorted(lo, breaks, side="right") - 1
-                        near = (of >= 0) & (breaks < hi[of]) & (breaks - lo[of] < LONGEST_PREFIX)
-                        lo, hi = np.concatenate([lo, breaks[near] + 1]), np.concatenate([hi, hi[of[near]]])
+                        within = (of >= 0) & (breaks < hi[of])
+                        lo, hi = np.concatenate([lo, breaks[within] + 1]), np.concatenate([hi, hi[of[within]]])
                     symbols = hi - lo
                 long = symbols >= MIN_LENGTH
                 if joined:
@@ -330,19 +362,18 @@ def _candidates(column: pa.Array, background: Background):
                 lo, hi, symbols = lo[long], hi[long], symbols[long]
                 if not len(lo):
                     continue
-                ends = np.stack([lo, hi], axis=1).ravel()
-                missing = np.bitwise_or.reduceat(bits, ends)[::2]
+                missing = sum((np.searchsorted(x, hi) > np.searchsorted(x, lo)).astype(np.int64) << i for i, x in enumerate(strange))
                 least = np.argmax((missing[:, None] >> np.arange(len(_NAMES)) & 1) == 0, axis=1) == e
                 if joined and name == "BASE36":
                     # groups of lesser encodings that aren't joined themselves stay here
                     least = (missing >> _NAMES.index("hex") & missing >> _NAMES.index("HEX") & 1) == 1
                 log_case = cased(lo, hi)
-                log_e = -symbols * np.log(_SIZES[e]) - mixed(log_f, ends) - log_case - math.log(len(_JOINED if joined else _NAMES))
+                log_e = -symbols * np.log(_SIZES[e]) - mixed(sums, lo, hi) - log_case - math.log(len(_JOINED if joined else _NAMES))
                 run = run_of[lo]
                 whole = (hi - lo == size[run]) & (not joined)
                 weighted = log_e - np.where(whole, math.log(2), np.log(8 * windows[run]))
                 if not joined:
-                    log_given = -symbols * np.log(_SIZES[e]) - mixed(given, ends) - log_case - math.log(len(_NAMES))
+                    log_given = -symbols * np.log(_SIZES[e]) - mixed(given, lo, hi) - log_case - math.log(len(_NAMES))
                     bounded = before[lo] & edge[hi]
                     weighted = np.where(bounded, np.maximum(weighted, log_given - np.log(4 * pairs[run])), weighted)
                 weighted += np.log(size[run] / background.mean_length)
@@ -374,23 +405,39 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([*pair.tolist(), -1, -2]), pa.array([*counts[pair].tolist(), tokens, characters])], names=["pair", "n"])
 
 
+def _symbols(data: np.ndarray, start: int, end: int, e: int) -> tuple[np.ndarray, _Symbols]:
+    """Places and running counts of the bytes that are symbols of an encoding; joints aren't."""
+    values = _PLACE[e, data[start:end]]
+    inside = np.flatnonzero(values >= 0)
+    return inside + start, _Symbols(values[inside], int(_SIZES[e]))
+
+
 def _passing(words, run, lo, hi, encoding, weighted, level: float) -> Iterator[tuple[int, float, str, str]]:
     """(hypothesis, p of randomness, token, encoding) of those that reach the level and pass the battery, by run and descending evidence, without overlaps."""
     passed = np.flatnonzero(np.floor(weighted * _BINS_PER_UNIT) / _BINS_PER_UNIT >= level)
-    taken: list[tuple[int, int]] = []
-    last = -1
-    for at in passed[np.lexsort((lo[passed], -weighted[passed], run[passed]))].tolist():
-        if run[at] != last:
-            taken, last = [], run[at]
-        start, end = int(lo[at]), int(hi[at])
-        if any(start < t and s < end for s, t in taken):
-            continue
-        token = words.data[start:end].tobytes().decode("ascii")
-        name = _NAMES[int(encoding[at])]
-        p = battery(token if "-" in ENCODINGS[name] else token.replace("-", ""), name)[3]
-        if p >= LEAST_RANDOM:
-            taken.append((start, end))
-            yield at, p, token, name
+    passed = passed[np.lexsort((lo[passed], -weighted[passed], run[passed]))]
+    for mine in np.split(passed, np.flatnonzero(np.diff(run[passed])) + 1):
+        # starts and ends of those taken, in order
+        starts: list[int] = []
+        ends: list[int] = []
+        counted: dict[int, tuple[np.ndarray, _Symbols]] = {}
+        for at in mine.tolist():
+            start, end, e = int(lo[at]), int(hi[at]), int(encoding[at])
+            place = bisect_right(starts, start)
+            if (place and ends[place - 1] > start) or (place < len(starts) and starts[place] < end):
+                continue
+            if end - start <= _COUNTED:
+                where, symbols = _symbols(words.data, start, end, e)
+            else:
+                if e not in counted:
+                    same = mine[encoding[mine] == e]
+                    counted[e] = _symbols(words.data, int(lo[same].min()), int(hi[same].max()), e)
+                where, symbols = counted[e]
+            p = symbols.battery(*np.searchsorted(where, (start, end)).tolist())[3]
+            if p >= LEAST_RANDOM:
+                starts.insert(place, start)
+                ends.insert(place, end)
+                yield at, p, words.data[start:end].tobytes().decode("ascii"), _NAMES[e]
 
 
 def _weigher(background: Background, least: float):

@@ -209,6 +209,51 @@ def test_byte_ranges_coalesce():
     assert warc.ranges([], gap=4) == []
 
 
+def plain_battery(token: str, encoding: str) -> tuple[float, float, float]:
+    """Chi-squared, changes about the middle and sum of products of neighbours, symbol by symbol."""
+    place = {c: i for i, c in enumerate(secrets.ENCODINGS[encoding])}
+    values, k = [place[c] for c in token], len(place)
+    cells = max(2, min(k, len(values) // 2))
+    counts, shares = [0] * cells, [0.0] * cells
+    for v in values:
+        counts[v * cells // k] += 1
+    for v in range(k):
+        shares[v * cells // k] += 1 / k
+    high = [v >= k / 2 for v in values]
+    chi = sum((c - len(values) * s) ** 2 / (len(values) * s) for c, s in zip(counts, shares))
+    return chi, sum(a != b for a, b in zip(high, high[1:])), sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(values, values[1:]))
+
+
+@pytest.mark.parametrize("encoding", ["hex", "base62", "mixed"])
+def test_battery_of_any_span_is_that_of_its_own_symbols(encoding):
+    rng = np.random.default_rng(6)
+    symbols = secrets.ENCODINGS[encoding]
+    text = "".join(rng.choice(list(symbols), 6000))
+    whole = np.frombuffer(text.encode(), dtype=np.uint8)
+    where, counted = secrets._symbols(whole, 0, len(whole), secrets._NAMES.index(encoding))
+    for lo, hi in [(0, 6000), (0, 16), (5984, 6000), (17, 5000), (100, 200)]:
+        found = counted.battery(lo, hi)
+        assert found == secrets.battery(text[lo:hi], encoding)
+        chi, changes, products = plain_battery(text[lo:hi], encoding)
+        n, k = hi - lo, len(symbols)
+        cells = max(2, min(k, n // 2))
+        assert found[0] == pytest.approx(secrets._gamma_tail((cells - 1) / 2, chi / 2))
+        assert int(counted.changes[hi - 1] - counted.changes[lo]) == changes
+        assert found[2] == pytest.approx(math.erfc(abs(products) / ((k * k - 1) / 12 * math.sqrt(n - 1)) / math.sqrt(2)))
+
+
+def test_long_runs_of_many_separators_take_time_by_their_length():
+    # each of 20,000 parts behind a separator reaches the level and fails the battery
+    rng = np.random.default_rng(7)
+    few = np.where(np.arange(26) % 2, rng.choice(list("qz"), (20_000, 26)), rng.choice(list("XJ"), (20_000, 26)))
+    text = "/".join("".join(x) for x in few)
+    model = secrets.Background(secrets.pair_model(np.zeros((41, 40))), 20.0, 5.0)
+    assert all(np.sum(weighted >= model.level) > 20_000 for *_, weighted in secrets._candidates(pa.array([text]), model))
+    began = time.process_time()
+    assert not list(secrets._found(pa.array([text]), model))
+    assert time.process_time() - began < 60
+
+
 def test_battery_tells_random_from_regular():
     rng = np.random.default_rng(5)
     passed = sum(secrets.battery("".join(rng.choice(list("0123456789abcdef"), 40)), "hex")[3] >= secrets.LEAST_RANDOM for _ in range(300))

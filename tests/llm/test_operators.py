@@ -332,6 +332,29 @@ def test_secrets_joined_to_other_text(spark):
     assert sum(key in clean[1000 + i] for i, (_, _, key, _) in enumerate(made)) <= len(missed)
 
 
+@pytest.mark.parametrize("folders", [5, 12, 60, 400])
+def test_secrets_behind_paths_of_any_length(spark, folders):
+    # the keys hold the separators of their own alphabets, so only a hypothesis that begins behind the path is the key
+    rng = random.Random(folders)
+    names = "projects default versions users groups public shared archive records settings".split()
+    made = []
+    for i in range(20):
+        sign = "/" if i % 2 else "-"
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=59))
+        key = "".join(c + sign if j % 10 == 9 else c for j, c in enumerate(key))
+        made.append((sign.join(rng.choices(names, k=folders)) + sign, key))
+    prose = [(i, words(300, i, 4)) for i in range(60)]
+    docs = table(spark, prose + [(1000 + i, f"see {path}{key} there") for i, (path, key) in enumerate(made)])
+    tokens = defaultdict(list)
+    for r in secrets.find_secrets(docs).collect():
+        tokens[r["doc_id"]].append(r["token"])
+    # the first ten characters and their separator may be cut off, or some folders stay
+    assert sum(any(key[11:] in t and len(t) < len(key) + 40 for t in tokens[1000 + i]) for i, (_, key) in enumerate(made)) >= 18, tokens
+    assert min(tokens) >= 1000
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert sum(key[11:] in clean[1000 + i] for i, (_, key) in enumerate(made)) <= 2
+
+
 ORDINARY = "FREQUENTLYASKEDQUESTIONS TERMSANDCONDITIONSAPPLY INTERNATIONALBUSINESS CUSTOMERSERVICECENTER PROFESSIONALDEVELOPMENT ENVIRONMENTALPROTECTION getElementsByClassName XMLHttpRequestEventTarget AbstractSingletonProxyFactoryBean 6126142746547109 https://www.example.com/some/very/long/path/to/a/page.html".split()
 
 
