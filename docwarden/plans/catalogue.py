@@ -72,7 +72,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("at 10.0."), key % 256, F.lit(".7 or http://203.0.114."), key % 256, F.lit("/in")),
         F.concat(F.lit("Bill the "), segment, F.lit(" account with "), F.when(key % 5 == 0, "stripe").when(key % 5 == 1, "slack").otherwise("post"), F.when(key % 4 == 0, " and a payment").otherwise("")),
     )
-    rows = tables.read(spark, sf_dir, "customer")
+    rows = tables.spread(tables.read(spark, sf_dir, "customer"), "c_custkey")
     return tables.as_documents(rows, F.concat(F.lit("card-"), key), text, F.concat(F.lit("nation-"), F.col("c_nationkey")))
 
 

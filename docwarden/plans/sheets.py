@@ -56,7 +56,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("```"),
         F.concat(F.lit("data: "), data),
     )
-    rows = tables.read(spark, sf_dir, "customer")
+    rows = tables.spread(tables.read(spark, sf_dir, "customer"), "c_custkey")
     return tables.as_documents(rows, F.concat(F.lit("sheet-"), key), text, F.concat(F.lit("nation-"), F.col("c_nationkey")))
 
 
