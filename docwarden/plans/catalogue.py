@@ -348,7 +348,7 @@ select path, arg_max(f, depth) as above from docs d join files on (files.s is nu
 def nearest_server_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest file above each document of a tree."""
     orders, customers = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "customer")
-    docs = orders.select(F.concat_ws("/", F.lit("/r"), "o_orderstatus", "o_custkey", "o_orderkey", F.lit("SKILL.md")).alias("path"))
+    docs = tables.spread(orders, "o_orderkey", 300_000).select(F.concat_ws("/", F.lit("/r"), "o_orderstatus", "o_custkey", "o_orderkey", F.lit("SKILL.md")).alias("path"))
     top = spark.range(1).select(F.lit("/r/.mcp.json").alias("path"))
     middle = orders.filter("o_orderstatus <> 'F'").select(F.concat_ws("/", F.lit("/r"), "o_orderstatus", F.lit(".mcp.json")).alias("path")).distinct()
     low = customers.filter("c_acctbal > 0").select(F.concat_ws("/", F.lit("/r/F"), "c_custkey", F.lit(".mcp.json")).alias("path"))
@@ -363,7 +363,7 @@ def bundled_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts in the folders of documents: orders as files below their customers."""
     docs = tables.read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("skill"), F.concat(F.lit("/r/c"), "c_custkey", F.lit("/SKILL.md")).alias("path"))
     suffix = F.when(F.col("o_orderpriority").startswith("5"), ".md").otherwise(".sh")
-    files = tables.read(spark, sf_dir, "orders").select(F.concat(F.lit("/r/c"), "o_custkey", F.lit("/"), "o_orderpriority", F.lit("/o"), "o_orderkey", suffix).alias("path"))
+    files = tables.spread(tables.read(spark, sf_dir, "orders"), "o_orderkey", 300_000).select(F.concat(F.lit("/r/c"), "o_custkey", F.lit("/"), "o_orderpriority", F.lit("/o"), "o_orderkey", suffix).alias("path"))
     return across.bundled_scripts(docs, files, *_rules("BUNDLED_SCRIPTS"), Config()).select("skill", "path", "snippet")
 
 

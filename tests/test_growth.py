@@ -66,3 +66,41 @@ def test_few_configured_names_equal_the_join(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(across, "_FEW_NAMES", 0)
     assert few and few == found()
+
+
+def test_nearest_file_without_an_explosion(spark, monkeypatch):
+    files = ["/.mcp.json", "/a/.mcp.json", "/a/a.json", "/a/b/c/.mcp.json", "x/.mcp.json", "top"]
+    docs = ["/d.md", "/a/d.md", "/a/b/d.md", "/a/b/c/d.md", "/a/b/c/e/f/d.md", "/ab/d.md", "x/y/d.md", "y/d.md", "top", "/a/d.md"]
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else p
+
+    def nearest(path):
+        parts = folder(path).split("/")
+        above = [[f for f in files if folder(f) == "/".join(parts[:n])] for n in range(len(parts), 0, -1)]
+        return next((min(of) for of in above if of), None)
+
+    expected = sorted((d, nearest(d)) for d in set(docs) if nearest(d))
+    tables = [spark.createDataFrame([(p,) for p in of], "path string") for of in (docs + [None], files)]
+    near = across.nearest_above(*tables)
+    assert sorted(tuple(r) for r in near.collect()) == expected
+    assert "Generate" not in plan_of(near) and "SortMergeJoin" not in plan_of(near)
+    monkeypatch.setattr(across, "_FEW_FILES", 0)
+    near = across.nearest_above(*tables)
+    assert sorted(tuple(r) for r in near.collect()) == expected
+    assert "ShuffledHashJoin" in plan_of(near) and "Broadcast" not in plan_of(near)
+
+
+def test_servers_are_judged_within_the_row(spark):
+    plan = plan_of(sheets.remote_servers(spark, SF_DIR))
+    assert "Window" not in plan and plan.count("_front_matter(") == 1
+
+
+def test_scripts_meet_documents_at_their_depths(spark):
+    docs = spark.createDataFrame([("root", "/r/SKILL.md"), ("deep", "/r/a/b/SKILL.md"), ("none", "/r/z/SKILL.md"), ("again", "/r/a/b/X.md")], "skill string, path string")
+    paths = [f"/r/{'ab'[i % 2]}/b/s{i:03}.sh" for i in range(400)] + ["/r/a/b/s000.sh", "/q/x.sh", "/r/a/b/t.md", "/r/b/SKILL.md"]
+    (rule,) = catalogue._rules("BUNDLED_SCRIPTS")
+    found = across.bundled_scripts(docs, spark.createDataFrame([(p,) for p in paths], "path string"), rule, Config())
+    scripts = sorted({p for p in paths if p.endswith(".sh") and p.startswith("/r/")})
+    below = lambda folder: ", ".join(sorted(p[len(folder) + 1 :] for p in scripts if p.startswith(folder + "/")))[:200]
+    assert sorted((r["skill"], r["snippet"]) for r in found.collect()) == [("again", below("/r/a/b")), ("deep", below("/r/a/b")), ("root", below("/r"))]
+    # neither documents nor scripts are broadcast, and no list is longer than what is shown of it
+    assert not any("BroadcastHashJoin [dir#" in line for line in plan_of(found).splitlines()) and "dense_rank" in plan_of(found)
