@@ -48,8 +48,23 @@ def strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+#: characters that are counted at once, of which each takes some 60 bytes
+_COUNTED = 1 << 19
+
+
 def entropies(texts: Sequence[str]) -> list[float]:
-    """Shannon entropy of the characters of each text in bits, all texts at once."""
+    """Shannon entropy of the characters of each text in bits, many texts at once."""
+    out: list[float] = []
+    begin = held = 0
+    for end, text in enumerate(texts):
+        if held and held + len(text) > _COUNTED:
+            out += _entropies(texts[begin:end])
+            begin, held = end, 0
+        held += len(text)
+    return out + _entropies(texts[begin:])
+
+
+def _entropies(texts: Sequence[str]) -> list[float]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)

@@ -158,13 +158,13 @@ def entropy_values(rule: Rule) -> Column:
 def entropy_check(rule: Rule, config: Config) -> Column:
     """Long lines and front matter values that look encoded; prose is left alone.
 
-    Entropies come from a map of values that one Arrow UDF makes for a batch of documents.
+    One Arrow UDF tells which values are dense, for a batch of documents.
     """
     match, score, meta = rule.match, rule.score(config), rule.metadata
     least = match.get("min_length", 80)
 
     def opaque(value: Column, length: int) -> Column:
-        dense = F.coalesce(F.element_at(F.col(f"`{column_of(rule)}`"), value), F.lit(0.0)) >= float(match.get("min_entropy", 4.5))
+        dense = F.coalesce(F.array_contains(F.col(f"`{column_of(rule)}`"), value), F.lit(False))
         encoded = value.rlike(match["base64_pattern"]) if match.get("base64_pattern") else F.lit(False)
         return F.when(_may_be_opaque(rule, value, length), encoded | dense).otherwise(F.lit(False))
 

@@ -8,6 +8,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from docwarden.config import Config
+from docwarden.functions.text import entropies
 from docwarden.plans import across, catalogue, parse, sheets
 from docwarden.plans.scan import to_findings
 
@@ -104,3 +105,21 @@ def test_scripts_meet_documents_at_their_depths(spark):
     assert sorted((r["skill"], r["snippet"]) for r in found.collect()) == [("again", below("/r/a/b")), ("deep", below("/r/a/b")), ("root", below("/r"))]
     # neither documents nor scripts are broadcast, and no list is longer than what is shown of it
     assert not any("BroadcastHashJoin [dir#" in line for line in plan_of(found).splitlines()) and "dense_rank" in plan_of(found)
+
+
+def test_entropies_are_counted_in_slices():
+    import tracemalloc
+    from collections import Counter
+    from math import log2
+
+    texts = ["", "a", "aabb", "x" * 700_000 + "y" * 700_000] + [f"line {i} of some text that repeats" for i in range(60_000)]
+    tracemalloc.start()
+    bits = entropies(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bits) == len(texts) and bits[:4] == [0, 0, 1, 1]
+    for i in (4, 777, 60_003):
+        share = [n / len(texts[i]) for n in Counter(texts[i]).values()]
+        assert abs(bits[i] + sum(p * log2(p) for p in share)) < 1e-9
+    # all at once would take over 100 MB
+    assert peak < 75e6, peak
